@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dup
+from . import decontamination, language_id, mixing, near_dup, sharding
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_sharding": sharding.op5_sharding,
+    "op8_language_id": language_id.op8_language_id,
     "op10_near_dup": near_dup.op10_near_dup,
 }
 ORACLES = {
