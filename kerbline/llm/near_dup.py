@@ -106,17 +106,18 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """One document of each component: that with the smallest doc_id (null last), of those with the smallest text hash, of those any."""
     marked = docs.withColumn("__th", F.xxhash64("text"))
     sig = materialize(with_fingerprint(marked, shingle, keep=["doc_id", "__th"]), "fingerprints")
-    key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__th")
+    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
     per_fp = sig.groupBy("__fp").agg(F.min(key).alias("k"))
     per_fp = per_fp.join(groups(sig, radius), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    first = per_fp.groupBy("root").agg(F.min("k").alias("k"))
+    first = per_fp.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__h"))
+    # how many rows have that doc_id and text
     rows = sig.groupBy("doc_id", "__th").agg(F.count("*").alias("__m"))
-    first = materialize(first.select("k.doc_id", "k.__th").join(rows, [first.k.doc_id.eqNullSafe(rows.doc_id), first.k.__th == rows.__th]).select(rows.doc_id, rows.__th, "__m"), "kept")
-    kept = marked.join(first, [marked.doc_id.eqNullSafe(first.doc_id), marked.__th == first.__th]).drop(first.doc_id, first.__th)
+    first = materialize(first.join(rows, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__th"))).select("__id", "__h", "__m"), "kept")
+    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
     out = kept.where("__m = 1").select(*docs.columns)
     if first.where("__m > 1").isEmpty():
         return out
-    again = kept.where("__m > 1").groupBy("doc_id", "__th").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    again = kept.where("__m > 1").groupBy("__id", "__h").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
     return out.unionByName(again)
 
 
