@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dup, quality_rules, sharding, url_filter
+from . import decontamination, language_id, mixing, near_dup, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_warc": warc.op6_warc,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
     "op10_near_dup": near_dup.op10_near_dup,
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
