@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dup, quality_rules, sharding, url_filter, warc
+from . import decontamination, html_extraction, language_id, mixing, near_dup, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
