@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, language_id, mixing, near_dup, quality_rules, sharding, url_filter, warc
+from . import decontamination, gru_lm, html_extraction, language_id, mixing, near_dup, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
+    "op9_lm_score": gru_lm.op9_lm_score,
     "op10_near_dup": near_dup.op10_near_dup,
 }
 ORACLES = {
