@@ -214,11 +214,10 @@ def encode(spark, sf):
     return way_points(spark, sf).select("way_id", polyline.encode(F.col("pts")).alias("encoded"))
 
 
-@query("M7_decode", f"{ENCODE} SELECT way_id, pos, round(sum(v) FILTER (k = 1) OVER w / 1e5, 5) AS lat, round(sum(v) FILTER (k = 2) OVER w / 1e5, 5) AS lon FROM shifted QUALIFY k = 2 WINDOW w AS (PARTITION BY way_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING)")
+@query("M7_decode", f"{ENCODE} SELECT way_id, pos, round(sum(v) FILTER (k = 1) OVER w / 1e5, 5) AS lat, round(sum(v) FILTER (k = 2) OVER w / 1e5, 5) AS lon FROM shifted WINDOW w AS (PARTITION BY way_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING) QUALIFY k = 2")
 def decode(spark, sf):
-    decoded = way_points(spark, sf).select("way_id", polyline.decode(polyline.encode(F.col("pts"))).alias("pts"))
-    decoded = decoded.select("way_id", F.posexplode("pts").alias("pos", "p"))
-    return decoded.select("way_id", F.col("pos").cast("long").alias("pos"), F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
+    decoded = polyline.decode(way_points(spark, sf).select("way_id", polyline.encode(F.col("pts")).alias("text")), ["way_id"], "text")
+    return decoded.select("way_id", F.col("pos").cast("long").alias("pos"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 @query("M5_combine", f"{ctes('dense_refs')} SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS line FROM dense_refs GROUP BY way_id HAVING count(*) > 1")
