@@ -50,6 +50,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that a join may broadcast (some 100 bytes each); a larger table is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """keys (written out already) with a broadcast hint if its counted rows are few, so that texts need no shuffle; else as it is."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Sequence]],

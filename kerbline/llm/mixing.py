@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, materialize, table
+from .common import SPACED_WORD, materialize, small, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataF
     """docs, each row as often as the mix takes it, with size, source_size, target and copies."""
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(F.col("text")))
     found = materialize(choices(docs.select("doc_id", "source", "size"), weights, max_copies).drop("m").where("copies > 0"), "choices").withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__z"})
-    taken = docs.join(found, [docs.doc_id.eqNullSafe(found["__d"]), docs.source.eqNullSafe(found["__s"]), docs["size"] == found["__z"]])
+    taken = docs.join(small(found), [docs.doc_id.eqNullSafe(found["__d"]), docs.source.eqNullSafe(found["__s"]), docs["size"] == found["__z"]])
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy", "__d", "__s", "__z")
 
 

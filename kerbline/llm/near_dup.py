@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import map_rows, materialize, table, texts
+from .common import map_rows, materialize, small, table, texts
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -110,14 +110,17 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     per_fp = sig.groupBy("__fp").agg(F.min(key).alias("k"))
     per_fp = per_fp.join(groups(sig, radius), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
     first = per_fp.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__h"))
-    # how many rows have that doc_id and text
-    rows = sig.groupBy("doc_id", "__th").agg(F.count("*").alias("__m"))
-    first = materialize(first.join(rows, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__th"))).select("__id", "__h", "__m"), "kept")
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
-    out = kept.where("__m = 1").select(*docs.columns)
-    if first.where("__m > 1").isEmpty():
+    # the keys whose rows do not all stay: those of no first document (m = 0), and those that rows share (m > 1)
+    rows = sig.groupBy("doc_id", "__th").agg(F.count("*").alias("__n"))
+    marks = rows.join(first.withColumn("__first", F.lit(True)), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__th")), "left")
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.when(F.col("__first"), F.col("__n")).otherwise(0).alias("__m"))
+    marks = materialize(marks.where("__m <> 1"), "marks")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
+    out = marked.join(small(marks), same, "left_anti").select(*docs.columns)
+    shared = marks.where("__m > 1")
+    if shared.isEmpty():
         return out
-    again = kept.where("__m > 1").groupBy("__id", "__h").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    again = marked.join(small(shared), same).groupBy("__id", "__h").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
     return out.unionByName(again)
 
 
