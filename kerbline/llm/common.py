@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import materialize, shared_path
+
+__all__ = ["materialize", "shared_path"]  # of kerbline.sources, for the operators here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words between ASCII white space, as a Java regular expression.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -27,29 +29,6 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; in local mode without one, a new temporary folder."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return made
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors and is computed once."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of keys that a join may broadcast (some 100 bytes each); a larger table is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -85,9 +64,11 @@ def map_rows(
     return df.mapInArrow(run, out)
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    """The UTF-8 bytes of a string column."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string column; only step of them are Python objects at a time."""
+    column = batch.column(name).cast(pa.binary())
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
 
 
 def crc_mod(c: Column, n: int) -> Column:
