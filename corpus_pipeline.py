@@ -14,8 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id."""
-    return near_dup.keep_one(docs)
+    """One document of each component of near copies (five-word shingles, similarity 0.8) stays, that with the smallest doc_id."""
+    return near_dup.keep_one_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ All fingerprints of a variant link, so neighbours in sorted order are enough to
 are deduplicated and their distance is verified. A variant has few fingerprints (65 for r = 2), however many documents
 share one.
 
+The pipeline's stage has another rule, five-word shingles with a Jaccard similarity of 0.8 or more (keep_one_similar): texts that
+share one of their rarest shingles meet, and the sets of those that do are compared exactly.
+
 Defined results: a null or wordless text has fingerprint 0, linked like any other. A null doc_id never is the smallest
 of a component unless all are null. Repeated rows come out as often as they come in. Columns of the input beyond
 doc_id and text pass through keep_one; those named like internal columns (starting with two underscores) do not occur.
@@ -13,9 +16,11 @@ doc_id and text pass through keep_one; those named like internal columns (starti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +31,12 @@ from .common import map_rows, materialize, small, table, texts
 SEED = 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: The smallest Jaccard similarity of near copies in the pipeline, as a fraction.
+LEAST = (4, 5)
+#: One of so many texts tells which shingles are common; texts of these that hold one; most such shingles in every task.
+ORDER_SAMPLE, COMMON_TEXTS, MAX_COMMON = 16, 8, 100_000
+#: Bits that show of most pairs that they differ too much.
+PARITIES = 1024
 
 
 def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
@@ -102,13 +113,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return sig.join(ids, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (null last), of those with the smallest text hash, of those any."""
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    sig = materialize(with_fingerprint(marked, shingle, keep=["doc_id", "__th"]), "fingerprints")
+def first_of_groups(docs: DataFrame, marked: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that lead their component; marked: docs with the text's hash __th; sig(doc_id, __th, __fp); found(__fp, root)."""
     key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
     per_fp = sig.groupBy("__fp").agg(F.min(key).alias("k"))
-    per_fp = per_fp.join(groups(sig, radius), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
+    per_fp = per_fp.join(found, "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
     first = per_fp.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__h"))
     # the keys whose rows do not all stay: those of no first document (m = 0), and those that rows share (m > 1)
     rows = sig.groupBy("doc_id", "__th").agg(F.count("*").alias("__n"))
@@ -124,5 +133,125 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     return out.unionByName(again)
 
 
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One document of each component: that with the smallest doc_id (null last), of those with the smallest text hash, of those any."""
+    marked = docs.withColumn("__th", F.xxhash64("text"))
+    sig = materialize(with_fingerprint(marked, shingle, keep=["doc_id", "__th"]), "fingerprints")
+    return first_of_groups(docs, marked, sig, groups(sig, radius))
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of all shingles, once each; a shorter text is one shingle, a wordless one has none."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    hashes = map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(k)))), repeat(SEED))
+    return np.unique(np.fromiter(hashes, np.uint64, n)).view(np.int64)
+
+
+def common_shingles(marked: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many texts hold, sorted, by the texts of a hashed sample: they only come last in the order of shingles, so results do not depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, shingle) for t in texts(b))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    sample = marked.where(F.pmod("__th", F.lit(ORDER_SAMPLE)) == 0).select("__th", "text").dropDuplicates(["__th"])
+    counts = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64))
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether the number of hashes that fall on each is odd. Two sets differ in as many hashes as bits, or more."""
+    return np.packbits(np.bincount(s & PARITIES - 1, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) of shingle sets whose Jaccard similarity reaches LEAST: pairs with too many odd bits go, the others' sets are compared."""
+    up, down = LEAST
+    bits = sig.select("__fp", "size", "bits").dropDuplicates(["__fp"])
+    pairs = pairs.join(bits.toDF("a", "size_a", "x"), "a").join(bits.toDF("b", "size_b", "y"), "b")
+    odd = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = materialize(pairs.where(odd * (down + up) <= (F.col("size_a") + F.col("size_b")) * (down - up)).select("a", "b"), "possible")
+    asked = pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct()
+    asked = materialize(sig.select("__fp", "__th").join(small(asked), "__fp").groupBy("__fp").agg(F.min("__th").alias("__th")), "asked")
+
+    def make():
+        return lambda batch: [[shingle_set(t, shingle).tolist() for t in texts(batch)]]
+
+    rows = marked.select("__th", "text").join(small(asked), "__th")
+    sets = map_rows(rows, make, [T.StructField("s", T.ArrayType(T.LongType()))], keep=["__fp"]).groupBy("__fp").agg(F.first("s").alias("s"))
+    sets = materialize(sets, "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * down >= (F.size("x") + F.size("y") - shared) * up).select("a", "b")
+
+
+def similar_groups(marked: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
+    """(__fp, root) of the shingle sets that are linked to another one, for sig(doc_id, __th, __fp, size, prefix, bits).
+
+    Two sets as similar as LEAST share one of the first shingles of each in any common order, as many as prefix holds; so every
+    such pair meets in a bucket. Neighbours in a bucket are compared first; then all pairs of a bucket that these do not yet connect.
+    """
+    up, down = LEAST
+    near = lambda a, b: F.least(a, b) * down >= F.greatest(a, b) * up
+    keys = sig.select("__fp", "size", "prefix").dropDuplicates(["__fp"]).select(F.explode("prefix").alias("v"), F.struct("size", "__fp").alias("x"))
+    buckets = keys.groupBy("v").agg(F.sort_array(F.collect_list("x")).alias("m")).where(F.size("m") > 1)
+    buckets = materialize(buckets.select("m").distinct().withColumn("id", F.monotonically_increasing_id()), "buckets")
+    n = F.size("m")
+    next_to = buckets.select(F.explode(F.arrays_zip(F.slice("m", F.lit(1), n - 1).alias("a"), F.slice("m", F.lit(2), n - 1).alias("b"))).alias("p"))
+    next_to = next_to.where(near(F.col("p.a.size"), F.col("p.b.size"))).select(F.least("p.a.__fp", "p.b.__fp").alias("a"), F.greatest("p.a.__fp", "p.b.__fp").alias("b"))
+    next_to = materialize(next_to.distinct(), "neighbours")
+    links = materialize(confirmed(next_to, marked, sig, shingle), "links")
+    found = components(links)
+    members = buckets.select("id", F.explode("m").alias("x")).select("id", "x.size", F.col("x.__fp").alias("node")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("id")
+    members = materialize(members.join(mixed, "id"), "mixed")
+    other = members.select("id", F.col("size").alias("size2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
+    left = members.join(other, "id").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & near(F.col("size"), F.col("size2")))
+    left = left.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    left = materialize(left.join(next_to, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        more = materialize(confirmed(left, marked, sig, shingle), "links")
+        if not more.isEmpty():
+            found = components(links.union(more))
+    return found.toDF("__fp", "root")
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One document, as in keep_one, of each component of texts whose sets of shingles have a Jaccard similarity of LEAST or more.
+
+    Every such pair is found. Texts of the same shingles are one set; null and wordless texts share the empty one.
+    """
+    marked = docs.withColumn("__th", F.xxhash64("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(marked, shingle))
+    up, down = LEAST
+
+    def make():
+        common = sent.value
+
+        def fn(batch):
+            ids, sizes, prefixes, bits = [], [], [], []
+            for t in texts(batch):
+                s = shingle_set(t, shingle)
+                ids.append(xxh64_intdigest(s.tobytes(), SEED))
+                sizes.append(len(s))
+                bits.append(parities(s))
+                often = np.isin(s, common, assume_unique=True)
+                # the rare ones first; at least ceil(up / down * size) are shared, so one of the others and one more
+                prefixes.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-len(s) * up // down) + 1])
+            return [np.array(ids, np.uint64).view(np.int64).tolist(), sizes, prefixes, bits]
+
+        return fn
+
+    fields = [T.StructField("__fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+    sig = materialize(map_rows(marked, make, fields, keep=["doc_id", "__th"]), "shingles")
+    return first_of_groups(docs, marked, sig, similar_groups(marked, sig, shingle))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

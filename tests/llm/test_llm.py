@@ -378,6 +378,47 @@ def test_near_duplicates_match_brute_force(spark):
     assert spark.sql("select xxhash64('ä b c') x").first().x & (1 << 64) - 1 == xxh64_intdigest("ä b c".encode(), 42)
 
 
+def test_pipeline_near_copies_match_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    lines = prose(40, rng)  # held by many texts
+    rows = edge_rows() + [(300 + i, lines + " " + prose(30 + i, rng)) for i in range(40)] + [(400, "Same  TEXT here"), (401, "same text"), (402, "SAME TEXT")]
+    for i in range(60):
+        if i % 15 == 0:
+            base = prose(120, rng).split()
+        w = list(base)
+        for _ in range(i % 6):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append((500 + i, " ".join(w)))
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                close += sets[i] != sets[j]
+                root[find(i)] = find(j)
+    assert close > 20
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), (True, 0)), (d is None, d or 0))
+    docs = docs_of(spark, rows)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted((None if no else d for no, d in first.values()), key=str)
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(101, 100)], "a long, b long")
     assert {(r.node, r.root) for r in near_dup.components(pairs).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
