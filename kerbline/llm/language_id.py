@@ -154,8 +154,15 @@ def identified(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those of undetermined language."""
-    return identified(docs).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """docs without null and letterless texts, which have no language. Without a labelled row no language can be learnt, and the same rows stay."""
+    model = fit(docs.where(~held_out()))
+    if model is not None:
+        return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+    def make():
+        return lambda batch: [[bool(t and LETTER.search(t.decode())) for t in texts(batch)]]
+
+    return map_rows(docs, make, [T.StructField("__letters", T.BooleanType())]).where("__letters").select(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

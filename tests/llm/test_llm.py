@@ -257,6 +257,12 @@ def test_language_held_out_accuracy(spark):
     assert language_id.identified(docs.limit(0)).count() == 0
 
 
+def test_without_labels_only_letterless_texts_go(spark):
+    rows = [(1, "a plain text", None), (2, None, None), (3, "12 34", None), (4, "ünï", None)]
+    docs = spark.createDataFrame([(i, t, lang, "a", 1) for i, t, lang in rows], DOC)
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs).collect()) == [1, 4]
+
+
 # ---- 9 language model
 
 
