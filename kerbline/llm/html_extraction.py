@@ -1,8 +1,8 @@
 """HTML extraction: main text after removal of site templates.
 
-Every page becomes a tree. The subtrees outside its article are hashed, and Spark counts in how many pages of a host
-each hash occurs; subtrees that recur across many pages of their host are the site's template and are deleted. What an
-article (or main) element holds is the page's own and never counts as template, however often its sentences are quoted.
+Every page becomes a tree. Its subtrees are hashed, and Spark counts in how many pages of a host each hash occurs;
+subtrees that recur across many pages of their host are the site's template and are deleted. Inside an article (or main)
+element only boxes without prose (BOXES, PROSE) count; its paragraphs never do, however often they are quoted.
 Elements whose role says they are not main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) go as well. Without an article element the blocks that remain of the body are the text.
 
@@ -27,6 +27,8 @@ from .common import lower_az, map_rows, materialize, table
 
 #: A subtree is template if it is in so many pages of its host, and in such a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.05
+#: On a host of fewer than twice MIN_PAGES pages half of them suffice, but no fewer than FEWEST; the share is that of so many pages at most.
+FEWEST, SHARE_PAGES = 3, 2_000
 #: Template subtrees of all hosts that every task may hold; beyond it pages are joined with their host's.
 MAX_BROADCAST = 1_000_000
 
@@ -48,6 +50,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 PARTS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 PHRASES = ("comment-", "comments-", "sidebar-", "site-header", "page-header", "site-footer", "main-menu", "user-comments", "reader-comments")
 MAIN = ("article", "main")
+#: What may be a site's box inside an article, unless it holds an element of prose.
+BOXES = frozenset("div ul ol dl section aside header details fieldset table center".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure article main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
@@ -213,14 +218,26 @@ def has_text(node: Node) -> bool:
     return any(c.strip() if not isinstance(c, Node) else has_text(c) for c in node.children)
 
 
+def candidates(root: Node, main: list[Node]) -> dict[int, int]:
+    """id of node -> hash of the subtrees with text that may be template: those outside the main elements, and the boxes in them without prose."""
+    found: dict[int, int] = {}
+    hashes(root, {id(x) for x in main}, found)
+    out = {id(x): found[id(x)] for x in inside(root) if id(x) in found and x.tag not in ("html", "body", "head") and x.tag not in RAW and has_text(x)}
+    for m in main:
+        within: dict[int, int] = {}
+        for c in m.children:
+            if isinstance(c, Node):
+                hashes(c, set(), within)
+        for x in inside(m):
+            if x is not m and x.tag in BOXES and has_text(x) and not any(y.tag in PROSE for y in inside(x)):
+                out[id(x)] = within[id(x)]
+    return out
+
+
 def template_hashes(page: str) -> list[int]:
-    """The hashes of a page's subtrees with text, once each, that may be template: those outside its main elements."""
+    """The hashes of a page's subtrees that may be template, once each."""
     root = parse(page)
-    skip = {id(x) for x in find_main(root)}
-    found: dict[int, int] = {}
-    hashes(root, skip, found)
-    body = [x for x in inside(root) if id(x) in found and x.tag not in ("html", "body", "head")]
-    return sorted({found[id(x)] for x in body if x.tag not in RAW and has_text(x)})
+    return sorted(set(candidates(root, find_main(root)).values()))
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -231,9 +248,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
     main = find_main(root)
     gone: set[int] = set()
     if not main or template:
-        found: dict[int, int] = {}
-        hashes(root, {id(x) for x in main}, found)
-        gone = {i for i, h in found.items() if h in template}
+        gone = {i for i, h in candidates(root, main).items() if h in template}
         if not main:
             gone |= {id(x) for x in inside(root) if x.tag == "header"}
     out: list[str] = []
@@ -262,8 +277,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     counts = pages.select("__host", "html").mapInArrow(run, "__host string, hash long, n long").groupBy("__host", "hash").agg(F.sum("n").alias("n"))
     sizes = counts.where("hash is null").select("__host", F.col("n").alias("pages"))
-    often = counts.where(f"hash is not null and n >= {min_pages}")
-    return often.join(sizes, "__host").where(F.col("n") >= F.col("pages") * min_share).select("__host", "hash")
+    often = counts.where(f"hash is not null and n >= {min(min_pages, FEWEST)}")
+    half = F.when(F.col("pages") < 2 * min_pages, F.greatest(F.col("pages") / 2, F.lit(min(min_pages, FEWEST)))).otherwise(min_pages)
+    return often.join(sizes, "__host").where((F.col("n") >= half) & (F.col("n") >= F.least("pages", F.lit(SHARE_PAGES)) * min_share)).select("__host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

@@ -128,6 +128,18 @@ def test_html_main_text_and_templates(spark):
     assert joined == {k: r.text for k, r in out.items()}
 
 
+def test_html_boxes_inside_articles_and_small_hosts(spark):
+    inner = lambda i: f"<article><h1>Title {i}</h1><p>Story {i}</p><p>A quoted line</p><div class='zq'><ul><li>Read our guide</li></ul></div></article>"
+    pages = [(i, f"http://big.example/{i}", inner(i)) for i in range(40)] + [(100 + i, f"http://small.example/{i}", inner(i)) for i in range(4)]
+    # no article, and few of very many pages of a host
+    pages += [(200 + i, f"http://bare.example/{i}", f"<div>Our shop</div><div><p>Own {i}</p></div>") for i in range(4)] + [(300, "http://one.example/", inner(0))]
+    pages += [(1000 + i, "http://huge.example/", f"<div><p>Own {i}</p></div>" + "<div>Summer box</div>" * (i < 120)) for i in range(3000)]
+    out = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), keep=["page_id"]).collect()}
+    assert out[7] == "Title 7\n\nStory 7\n\nA quoted line" and out[102] == "Title 2\n\nStory 2\n\nA quoted line"
+    assert out[201] == "Own 1" and out[1003] == "Own 3"
+    assert out[300].endswith("Read our guide")
+
+
 def test_html_survives_broken_markup():
     for text in ("<", "<p", "</p></p>", "<a href='x", "<script>x", "<!-- x", "a<b>c</i>d", "<table><tr><td>1<td>2</table>x", "<div>" * 3000 + "deep"):
         assert isinstance(html_extraction.main_text(text), str)
