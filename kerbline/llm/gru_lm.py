@@ -6,7 +6,7 @@ into classes. Each of the first classes holds WORDS_IN_CLASS of the most frequen
 chooses; further classes are bins of the head by rank, with their tokens' relative frequencies; the last class holds all
 other tokens, known or not, with add-one frequencies. So every token has a probability and they sum to one.
 
-Training: documents chosen by a hash (a fixed share of them, so the work grows with the corpus) are dealt to tasks by
+Training: all training documents (or one in `share` of them, chosen by a hash) are dealt to tasks by
 size; each task runs truncated backpropagation through time from the same start, and Spark averages the parameters by
 token counts, ROUNDS times. Scoring: many documents run side by side in lanes, in windows; the state of a lane is
 carried from window to window until its document ends, so that the log-likelihood is that of the whole document.
@@ -35,7 +35,7 @@ HEAD, NEURAL, WORDS_IN_CLASS = 131_072, 1024, 32
 #: Width of the state and of the embeddings.
 HIDDEN = 16
 #: One of so many training documents trains the network; tokens of a training task; rounds of averaging.
-SHARE, TASK_TOKENS, ROUNDS = 8, 1_000_000, 2
+SHARE, TASK_TOKENS, ROUNDS = 1, 1_000_000, 2
 #: Training: steps of a window, most lanes, and updates that a pass should have (few documents run in fewer lanes).
 #: Longer documents train in pieces, so that no lane runs on alone; scoring never cuts them.
 TRAIN_WINDOW, TRAIN_LANES, UPDATES, PIECE = 32, 256, 150, 4096

@@ -348,6 +348,14 @@ def test_lm_base_score_matches_brute_force(spark):
     assert gru_lm.scores(docs_of(spark, []), held).count() == 0
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    texts, train = [], gru_lm.materialize
+    monkeypatch.setattr(gru_lm, "materialize", lambda df, label: (texts.extend(r.text for r in df.collect()) if label == "training" else None) or train(df, label))
+    docs = docs_of(spark, [(i, prose(20)) for i in range(30)])
+    gru_lm.fit(docs, gru_lm.vocabulary(gru_lm.token_counts(docs)), rounds=1)
+    assert sorted(texts) == sorted(r.text for r in docs.collect())
+
+
 # ---- 10 near duplicates
 
 
