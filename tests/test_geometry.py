@@ -120,3 +120,16 @@ def test_clip_rejoins_pieces_and_densify_keeps_first_point(spark):
     step = 10 / geo.DEGREE_M
     dense = spark.createDataFrame([(1, [(0.0, 0.0), (step, 0.0), (step + 1e-6, 0.0)]), (2, []), (3, [(1.0, 1.0)])], pts).select("line_id", F.size(walkways.densify(F.col("pts"), 3.0)).alias("n"))
     assert {r.line_id: r.n for r in dense.collect()} == {1: 5, 2: 0, 3: 1}
+
+
+def test_new_ids_follow_the_requests_in_ranges(spark, monkeypatch):
+    rows = [(i * 37 % 1000,) for i in range(1000)]
+    parts, write = [], snap.materialize
+    monkeypatch.setattr(snap, "materialize", lambda df, label: parts.append(df.select("__part").distinct().count()) or write(df, label))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges as small as these would be put together
+    try:
+        got = snap.new_ids(spark.createDataFrame([(7,), (50,)], "id long"), spark.createDataFrame(rows, "req_id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.req_id, r.node_id) for r in got) == [(i, 51 + i) for i in range(1000)]
+    assert parts[0] > 1  # no task numbers them all
