@@ -6,12 +6,12 @@ All fingerprints of a variant link, so neighbours in sorted order are enough to
 are deduplicated and their distance is verified. A variant has few fingerprints (65 for r = 2), however many documents
 share one.
 
-The pipeline's stage has another rule, five-word shingles with a Jaccard similarity of 0.8 or more (keep_one_similar): texts that
-share one of their rarest shingles meet, and the sets of those that do are compared exactly.
+The pipeline's stage has another rule, five-word shingles with a Jaccard similarity of 0.8 or more (keep_one_similar): balls of
+fingerprints link what they can, texts that share one of their rarest shingles meet as well, and all pairs are compared exactly.
 
 Defined results: a null or wordless text has fingerprint 0, linked like any other. A null doc_id never is the smallest
-of a component unless all are null. Repeated rows come out as often as they come in. Columns of the input beyond
-doc_id and text pass through keep_one; those named like internal columns (starting with two underscores) do not occur.
+of a component unless all are null. Repeated rows come out of near_duplicates as often as they come in. Columns of the input
+beyond doc_id and text pass through keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,24 +34,38 @@ CHUNK = 1 << 16
 #: The smallest Jaccard similarity of near copies in the pipeline, as a fraction.
 LEAST = (4, 5)
 #: One of so many texts tells which shingles are common; texts of these that hold one; most such shingles in every task.
-ORDER_SAMPLE, COMMON_TEXTS, MAX_COMMON = 16, 8, 100_000
+ORDER_SAMPLE, COMMON_TEXTS, MAX_COMMON = 16, 2, 200_000
 #: Bits that show of most pairs that they differ too much.
 PARITIES = 1024
+#: Neighbours in buckets that a set meets before the rest; sets that a task remembers.
+FIRST_PAIRS, SEEN = 2, 1_000_000
 
 
-def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 of all shingles."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The XXH64 of all shingles in order, repeats included; a text of fewer words is one shingle, a wordless one has none."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
-    parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
-    n = len(parts[-1])
-    hashes = map(xxh64_intdigest, map(b" ".join, zip(*parts)) if len(parts) > 1 else parts[0], repeat(SEED))
+    k = min(shingle, len(words))
+    if not k:
+        return np.zeros(0, np.uint64)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(k))))
+    return np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(words) - k + 1)
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The hashes once each, sorted, as signed numbers."""
+    return np.unique(hashes).view(np.int64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.fromiter(hashes, np.uint64, min(CHUNK, n - at))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
+    return fingerprint(shingle_hashes(text, shingle))
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
@@ -113,56 +127,63 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return sig.join(ids, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, marked: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that lead their component; marked: docs with the text's hash __th; sig(doc_id, __th, __fp); found(__fp, root)."""
-    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
-    per_fp = sig.groupBy("__fp").agg(F.min(key).alias("k"))
-    per_fp = per_fp.join(found, "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    first = per_fp.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__h"))
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, th (the text's hash) and row, which holds all columns, so that no name of theirs matters."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("th"))
+
+
+def first_of_groups(rows: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of each component of sig(doc_id, th, node) under found(node, root) that comes first: by doc_id (null last), hash of the text, hash of the row."""
+    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    per_node = sig.groupBy("node").agg(F.min(key).alias("k")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = per_node.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("id"), F.col("k.th").alias("h"), F.lit(True).alias("first"))
     # the keys whose rows do not all stay: those of no first document (m = 0), and those that rows share (m > 1)
-    rows = sig.groupBy("doc_id", "__th").agg(F.count("*").alias("__n"))
-    marks = rows.join(first.withColumn("__first", F.lit(True)), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__th")), "left")
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.when(F.col("__first"), F.col("__n")).otherwise(0).alias("__m"))
-    marks = materialize(marks.where("__m <> 1"), "marks")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
-    out = marked.join(small(marks), same, "left_anti").select(*docs.columns)
-    shared = marks.where("__m > 1")
+    counts = sig.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.count("*").alias("n"))
+    marks = counts.join(first, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left").select("d", "t", F.when(F.col("first"), F.col("n")).otherwise(0).alias("m"))
+    marks = materialize(marks.where("m <> 1"), "marks")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    out = rows.join(small(marks), same, "left_anti").select("row.*")
+    shared = marks.where("m > 1")
     if shared.isEmpty():
         return out
-    again = marked.join(small(shared), same).groupBy("__id", "__h").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return out.unionByName(again)
+    again = rows.join(small(shared), same).groupBy("d", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(again.select("row.*"))
 
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (null last), of those with the smallest text hash, of those any."""
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    sig = materialize(with_fingerprint(marked, shingle, keep=["doc_id", "__th"]), "fingerprints")
-    return first_of_groups(docs, marked, sig, groups(sig, radius))
+    """One document of each component: that with the smallest doc_id (null last), of those with the smallest hash of the text, then of the row."""
+    rows = whole_rows(docs)
+    sig = materialize(with_fingerprint(rows.select("doc_id", "th", "text"), shingle, keep=["doc_id", "th"]), "fingerprints")
+    return first_of_groups(rows, sig.withColumnRenamed("__fp", "node"), groups(sig, radius).toDF("node", "root"))
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """The sorted hashes of all shingles, once each; a shorter text is one shingle, a wordless one has none."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.int64)
-    k = min(shingle, len(words))
-    n = len(words) - k + 1
-    hashes = map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(k)))), repeat(SEED))
-    return np.unique(np.fromiter(hashes, np.uint64, n)).view(np.int64)
+def set_id(s: np.ndarray) -> int:
+    return int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
-def common_shingles(marked: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many texts hold, sorted, by the texts of a hashed sample: they only come last in the order of shingles, so results do not depend on them."""
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and in how many of a hashed sample of rows(th, text); they only set the order of shingles, so results do not depend on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, shingle) for t in texts(b))]), return_counts=True)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingle_set(shingle_hashes(t, shingle)) for t in texts(b))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    sample = marked.where(F.pmod("__th", F.lit(ORDER_SAMPLE)) == 0).select("__th", "text").dropDuplicates(["__th"])
+    sample = rows.where(F.pmod("th", F.lit(ORDER_SAMPLE)) == 0).select("th", "text").dropDuplicates(["th"])
     counts = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64))
+    # at most MAX_COMMON rows
+    found = sorted((r["h"], r["n"]) for r in counts.where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect())
+    return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def prefix_of(s: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: a set as similar as LEAST shares one of them, as at least ceil(up / down * size) are shared."""
+    up, down = LEAST
+    rank = np.zeros(len(s), np.int64)
+    if len(common) and len(s):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, often[at], 0)
+    return s[np.lexsort((s, rank))][: len(s) - -(-len(s) * up // down) + 1]
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -170,87 +191,125 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(s & PARITIES - 1, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
 
 
-def confirmed(pairs: DataFrame, marked: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
-    """Those of pairs (a, b) of shingle sets whose Jaccard similarity reaches LEAST: pairs with too many odd bits go, the others' sets are compared."""
+def signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th, set (id of the set of shingles), fp (fingerprint), size, prefix and bits of rows(doc_id, th, text).
+
+    A task gives prefix and bits (else null) only for the first row of each set it meets.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+
+    def make():
+        (common, often), seen = sent.value, set()
+
+        def fn(batch):
+            ids, fps, sizes, prefixes, bits = [], [], [], [], []
+            for t in texts(batch):
+                h = shingle_hashes(t, shingle)
+                s = shingle_set(h)
+                ids.append(set_id(s))
+                fps.append(fingerprint(h))
+                sizes.append(len(s))
+                new = ids[-1] not in seen
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(ids[-1])
+                prefixes.append(prefix_of(s, common, often) if new else None)
+                bits.append(parities(s) if new else None)
+            return [ids, np.array(fps, np.uint64).view(np.int64), sizes, prefixes, bits]
+
+        return fn
+
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    fields = [T.StructField(n, t) for n, t in (("set", long), ("fp", long), ("size", T.IntegerType()), ("prefix", longs), ("bits", longs))]
+    return map_rows(rows, make, fields, keep=["doc_id", "th"])
+
+
+def differing(x: str, y: str):
+    """In how many parity bits two sets differ: they differ in as many shingles at least."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+
+
+def possible(x: str, y: str, size_x, size_y):
     up, down = LEAST
-    bits = sig.select("__fp", "size", "bits").dropDuplicates(["__fp"])
-    pairs = pairs.join(bits.toDF("a", "size_a", "x"), "a").join(bits.toDF("b", "size_b", "y"), "b")
-    odd = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = materialize(pairs.where(odd * (down + up) <= (F.col("size_a") + F.col("size_b")) * (down - up)).select("a", "b"), "possible")
-    asked = pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct()
-    asked = materialize(sig.select("__fp", "__th").join(small(asked), "__fp").groupBy("__fp").agg(F.min("__th").alias("__th")), "asked")
+    return differing(x, y) * (down + up) <= (size_x + size_y) * (down - up)
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) of sets whose Jaccard similarity reaches LEAST, by the sets themselves."""
+    up, down = LEAST
+    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    asked = materialize(sig.select("set", "th").join(small(materialize(asked, "asked")), "set").groupBy("set").agg(F.min("th").alias("th")), "asked")
 
     def make():
-        return lambda batch: [[shingle_set(t, shingle).tolist() for t in texts(batch)]]
+        return lambda batch: [[shingle_set(shingle_hashes(t, shingle)) for t in texts(batch)]]
 
-    rows = marked.select("__th", "text").join(small(asked), "__th")
-    sets = map_rows(rows, make, [T.StructField("s", T.ArrayType(T.LongType()))], keep=["__fp"]).groupBy("__fp").agg(F.first("s").alias("s"))
+    sets = map_rows(rows.select("th", "text").join(small(asked), "th"), make, [T.StructField("s", T.ArrayType(T.LongType()))], keep=["set"]).groupBy("set").agg(F.first("s").alias("s"))
     sets = materialize(sets, "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * down >= (F.size("x") + F.size("y") - shared) * up).select("a", "b")
 
 
-def similar_groups(marked: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
-    """(__fp, root) of the shingle sets that are linked to another one, for sig(doc_id, __th, __fp, size, prefix, bits).
+def ball_pairs(sig: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or meet in a ball: neighbours of a fingerprint, and one set of each of two linked fingerprints."""
+    from pyspark.sql import Window as W
+
+    own = materialize(sig.select("fp", "set").distinct(), "fingerprints")
+    same = own.select(F.lag("set").over(W.partitionBy("fp").orderBy("set")).alias("a"), F.col("set").alias("b")).where("a is not null")
+    first = own.groupBy("fp").agg(F.min("set").alias("set"))
+    linked = linked_pairs(first.select(F.col("fp").alias("__fp")))
+    across = linked.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return same.union(across.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def similar_groups(rows: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
+    """(node, root) of the sets that are linked to another one, for what signatures() returns.
 
-    Two sets as similar as LEAST share one of the first shingles of each in any common order, as many as prefix holds; so every
-    such pair meets in a bucket. Neighbours in a bucket are compared first; then all pairs of a bucket that these do not yet connect.
+    Balls of fingerprints give the first pairs. Fingerprints of sets as similar as LEAST may differ in a dozen bits, too many for
+    balls; so the rest comes from prefixes: two such sets share a shingle of both their prefixes. In these buckets each set first
+    meets a neighbour and the one that shares most with others; at last all pairs that are not yet connected and that neither sizes,
+    places in the prefixes nor parity bits rule out.
     """
+    from pyspark.sql import Window as W
+
     up, down = LEAST
-    near = lambda a, b: F.least(a, b) * down >= F.greatest(a, b) * up
-    keys = sig.select("__fp", "size", "prefix").dropDuplicates(["__fp"]).select(F.explode("prefix").alias("v"), F.struct("size", "__fp").alias("x"))
-    buckets = keys.groupBy("v").agg(F.sort_array(F.collect_list("x")).alias("m")).where(F.size("m") > 1)
-    buckets = materialize(buckets.select("m").distinct().withColumn("id", F.monotonically_increasing_id()), "buckets")
-    n = F.size("m")
-    next_to = buckets.select(F.explode(F.arrays_zip(F.slice("m", F.lit(1), n - 1).alias("a"), F.slice("m", F.lit(2), n - 1).alias("b"))).alias("p"))
-    next_to = next_to.where(near(F.col("p.a.size"), F.col("p.b.size"))).select(F.least("p.a.__fp", "p.b.__fp").alias("a"), F.greatest("p.a.__fp", "p.b.__fp").alias("b"))
-    next_to = materialize(next_to.distinct(), "neighbours")
-    links = materialize(confirmed(next_to, marked, sig, shingle), "links")
+    w = W.partitionBy("v").orderBy("x")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    keys = sig.where("prefix is not null").select("set", "size", F.posexplode("prefix").alias("pos", "v")).select("v", F.struct("size", "set", "pos").alias("x"))
+    members = keys.select("v", "x", F.lag("x.set").over(w).alias("before"), F.first("x.set").over(whole).alias("first"), F.last("x.set").over(whole).alias("last"), F.count("*").over(whole).alias("n"))
+    members = materialize(members.where("first <> last and (before is null or before <> x.set)").select("v", "x", "before", "n"), "members")
+    fame = members.groupBy(F.col("x.set").alias("set")).agg(F.avg("n").alias("fame"))
+    famous = members.select("v", "x.set").join(fame, "set").groupBy("v").agg(F.max(F.struct("fame", "set")).alias("m")).select("v", F.col("m.set").alias("famous"))
+    best = W.partitionBy("set").orderBy(F.desc("n"), "other")
+    met = lambda df, other: df.groupBy(F.col("x.set").alias("set"), F.col(other).alias("other")).agg(F.count("*").alias("n")).where("set <> other").withColumn("n", F.row_number().over(best)).where(f"n <= {FIRST_PAIRS}").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b"))
+    first = ball_pairs(sig).union(met(members.where("before is not null"), "before")).union(met(members.join(famous, "v"), "famous")).distinct()
+    bits = materialize(sig.where("bits is not null").select("set", "size", "bits").dropDuplicates(["set"]), "bits")
+    first = first.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b").where(possible("bits_a", "bits_b", F.col("size_a"), F.col("size_b")))
+    links = materialize(confirmed(materialize(first.select("a", "b"), "first"), rows, sig, shingle), "links")
     found = components(links)
-    members = buckets.select("id", F.explode("m").alias("x")).select("id", "x.size", F.col("x.__fp").alias("node")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("id")
-    members = materialize(members.join(mixed, "id"), "mixed")
-    other = members.select("id", F.col("size").alias("size2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
-    left = members.join(other, "id").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & near(F.col("size"), F.col("size2")))
-    left = left.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    left = materialize(left.join(next_to, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        more = materialize(confirmed(left, marked, sig, shingle), "links")
-        if not more.isEmpty():
-            found = components(links.union(more))
-    return found.toDF("__fp", "root")
+    members = members.select("v", "x").join(found, F.col("x.set") == F.col("node"), "left").select("v", "x", F.coalesce("root", "x.set").alias("root"))
+    mixed = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
+    members = materialize(members.join(mixed, "v").join(bits.select("set", "bits"), F.col("x.set") == F.col("set")).select("v", "x", "root", "bits"), "mixed")
+    # of two similar sets the smaller has a shared shingle even earlier
+    early = members.where(F.col("x.pos") <= F.col("x.size") * (1 - 2.0 * up / (up + down)) + 1e-6)
+    later = members.select("v", F.col("x").alias("y"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+    # what they can share at most if this is the first that they share
+    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    may = most * (up + down) >= (F.col("x.size") + F.col("y.size")) * up
+    left = early.join(later, (early.v == later.v) & (F.col("y") > F.col("x")) & (F.col("root") != F.col("root2")) & may & possible("bits", "bits2", F.col("x.size"), F.col("y.size")))
+    left = materialize(left.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct(), "left")
+    more = materialize(confirmed(left, rows, sig, shingle), "links")
+    return found if more.isEmpty() else components(links.union(more))
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document, as in keep_one, of each component of texts whose sets of shingles have a Jaccard similarity of LEAST or more.
 
-    Every such pair is found. Texts of the same shingles are one set; null and wordless texts share the empty one.
+    Every such pair counts. Texts of the same shingles are one set; null and wordless texts share the empty one.
     """
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(marked, shingle))
-    up, down = LEAST
-
-    def make():
-        common = sent.value
-
-        def fn(batch):
-            ids, sizes, prefixes, bits = [], [], [], []
-            for t in texts(batch):
-                s = shingle_set(t, shingle)
-                ids.append(xxh64_intdigest(s.tobytes(), SEED))
-                sizes.append(len(s))
-                bits.append(parities(s))
-                often = np.isin(s, common, assume_unique=True)
-                # the rare ones first; at least ceil(up / down * size) are shared, so one of the others and one more
-                prefixes.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-len(s) * up // down) + 1])
-            return [np.array(ids, np.uint64).view(np.int64).tolist(), sizes, prefixes, bits]
-
-        return fn
-
-    fields = [T.StructField("__fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
-    sig = materialize(map_rows(marked, make, fields, keep=["doc_id", "__th"]), "shingles")
-    return first_of_groups(docs, marked, sig, similar_groups(marked, sig, shingle))
+    rows = whole_rows(docs)
+    sig = materialize(signatures(rows.select("doc_id", "th", "text"), shingle), "signatures")
+    return first_of_groups(rows, sig.select("doc_id", "th", F.col("set").alias("node")), similar_groups(rows, sig, shingle))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
