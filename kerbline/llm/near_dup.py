@@ -34,9 +34,9 @@ CHUNK = 1 << 16
 #: The smallest Jaccard similarity of near copies in the pipeline, as a fraction.
 LEAST = (4, 5)
 #: One of so many texts tells which shingles are common; texts of these that hold one; most such shingles in every task.
-ORDER_SAMPLE, COMMON_TEXTS, MAX_COMMON = 16, 2, 200_000
+ORDER_SAMPLE, COMMON_TEXTS, MAX_COMMON = 32, 2, 200_000
 #: Bits that show of most pairs that they differ too much.
-PARITIES = 1024
+PARITIES = 512
 #: Neighbours in buckets that a set meets before the rest; sets that a task remembers.
 FIRST_PAIRS, SEEN = 2, 1_000_000
 
@@ -176,69 +176,87 @@ def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def prefix_of(s: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones first: a set as similar as LEAST shares one of them, as at least ceil(up / down * size) are shared."""
+def ordered(s: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones first, and how common its shingles are on average.
+
+    A set as similar as LEAST shares one of the first, as at least ceil(up / down * size) are shared.
+    """
     up, down = LEAST
     rank = np.zeros(len(s), np.int64)
     if len(common) and len(s):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         rank = np.where(common[at] == s, often[at], 0)
-    return s[np.lexsort((s, rank))][: len(s) - -(-len(s) * up // down) + 1]
+    return s[np.lexsort((s, rank))][: len(s) - -(-len(s) * up // down) + 1], int(rank.sum() // max(1, len(s)))
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """PARITIES bits: whether the number of hashes that fall on each is odd. Two sets differ in as many hashes as bits, or more."""
-    return np.packbits(np.bincount(s & PARITIES - 1, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+def parities(s: np.ndarray, n: int) -> np.ndarray:
+    """n bits (a power of two): whether the number of hashes that fall on each is odd. Two sets differ in as many hashes as bits, or more."""
+    return np.packbits(np.bincount(s & n - 1, minlength=n).astype(np.uint8) & 1).view(np.int64)
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th, set (id of the set of shingles), fp (fingerprint), size, prefix and bits of rows(doc_id, th, text).
+    """doc_id, th, set (id of the set of shingles), fp (fingerprint), size, fame, prefix, bits and sketch of rows(doc_id, th, text).
 
-    A task gives prefix and bits (else null) only for the first row of each set it meets.
+    bits are PARITIES parities, sketch at least two for each shingle if that is more (else null). A task gives prefix, bits and
+    sketch (else null) only for the first row of each set it meets.
     """
     sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def make():
         (common, often), seen = sent.value, set()
 
-        def fn(batch):
-            ids, fps, sizes, prefixes, bits = [], [], [], [], []
-            for t in texts(batch):
-                h = shingle_hashes(t, shingle)
-                s = shingle_set(h)
-                ids.append(set_id(s))
-                fps.append(fingerprint(h))
-                sizes.append(len(s))
-                new = ids[-1] not in seen
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(ids[-1])
-                prefixes.append(prefix_of(s, common, often) if new else None)
-                bits.append(parities(s) if new else None)
-            return [ids, np.array(fps, np.uint64).view(np.int64), sizes, prefixes, bits]
-
-        return fn
+        def one(text):
+            h = shingle_hashes(text, shingle)
+            s = shingle_set(h)
+            name = set_id(s)
+            fp = fingerprint(h)
+            out = (name, fp - (1 << 64) * (fp >> 63), len(s))
+            if name in seen:
+                return (*out, 0, None, None, None)
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(name)
+            prefix, fame = ordered(s, common, often)
+            return (*out, fame, prefix, parities(s, PARITIES), parities(s, 1 << (2 * len(s)).bit_length()) if 2 * len(s) > PARITIES else None)
+
+        return lambda batch: list(zip(*map(one, texts(batch)), strict=True)) or [[]] * 7
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    fields = [T.StructField(n, t) for n, t in (("set", long), ("fp", long), ("size", T.IntegerType()), ("prefix", longs), ("bits", longs))]
+    fields = [T.StructField(n, t) for n, t in (("set", long), ("fp", long), ("size", long), ("fame", T.IntegerType()), ("prefix", longs), ("bits", longs), ("sketch", longs))]
     return map_rows(rows, make, fields, keep=["doc_id", "th"])
 
 
-def differing(x: str, y: str):
-    """In how many parity bits two sets differ: they differ in as many shingles at least."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+def may_differ(size_a, size_b):
+    """Times down + up, in how many shingles sets of these sizes may differ at most."""
+    up, down = LEAST
+    return (size_a + size_b) * (down - up)
+
+
+def within_bits(x: str, y: str, size_a, size_b):
+    """Whether two sets differ in few enough of their bits: they differ in as many shingles at least."""
+    up, down = LEAST
+    odd = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    return odd * (down + up) <= may_differ(size_a, size_b)
 
 
-def possible(x: str, y: str, size_x, size_y):
+def within_sketch(x: str, y: str, size_a, size_b):
+    """The same of two sketches; the longer one is folded to the length of the other, as similar sets' lengths are one step apart at most."""
     up, down = LEAST
-    return differing(x, y) * (down + up) <= (size_x + size_y) * (down - up)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    n = F.least(F.size(x), F.size(y))
+    fold = lambda c: F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor)).otherwise(F.col(c))
+    odd = F.aggregate(F.zip_with(fold(x), fold(y), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda k, b: k + b)
+    return F.coalesce(odd * (down + up) <= may_differ(size_a, size_b), F.lit(True))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
-    """Those of pairs (a, b) of sets whose Jaccard similarity reaches LEAST, by the sets themselves."""
+    """Those of pairs (a, b) of sets whose Jaccard similarity reaches LEAST: sketches rule out most others, then the sets themselves are compared."""
     up, down = LEAST
-    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    asked = materialize(sig.select("set", "th").join(small(materialize(asked, "asked")), "set").groupBy("set").agg(F.min("th").alias("th")), "asked")
+    long = sig.where("sketch is not null").select("set", "size", "sketch").dropDuplicates(["set"])
+    pairs = pairs.join(long.toDF("a", "size_a", "x"), "a", "left").join(long.toDF("b", "size_b", "y"), "b", "left")
+    pairs = materialize(pairs.where(within_sketch("x", "y", F.col("size_a"), F.col("size_b"))).select("a", "b"), "possible")
+    asked = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "asked")
+    asked = materialize(sig.select("set", "th").join(small(asked), "set").groupBy("set").agg(F.min("th").alias("th")), "asked")
 
     def make():
         return lambda batch: [[shingle_set(shingle_hashes(t, shingle)) for t in texts(batch)]]
@@ -267,37 +285,37 @@ def similar_groups(rows: DataFrame, sig: DataFrame, shingle: int) -> DataFrame:
 
     Balls of fingerprints give the first pairs. Fingerprints of sets as similar as LEAST may differ in a dozen bits, too many for
     balls; so the rest comes from prefixes: two such sets share a shingle of both their prefixes. In these buckets each set first
-    meets a neighbour and the one that shares most with others; at last all pairs that are not yet connected and that neither sizes,
-    places in the prefixes nor parity bits rule out.
+    meets a neighbour and the one whose shingles are most common; at last all pairs that are not yet connected and that neither
+    sizes, places in the prefixes nor parity bits rule out.
     """
     from pyspark.sql import Window as W
 
     up, down = LEAST
-    w = W.partitionBy("v").orderBy("x")
+    w = W.partitionBy("v").orderBy(F.desc("fame"), "set")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    keys = sig.where("prefix is not null").select("set", "size", F.posexplode("prefix").alias("pos", "v")).select("v", F.struct("size", "set", "pos").alias("x"))
-    members = keys.select("v", "x", F.lag("x.set").over(w).alias("before"), F.first("x.set").over(whole).alias("first"), F.last("x.set").over(whole).alias("last"), F.count("*").over(whole).alias("n"))
-    members = materialize(members.where("first <> last and (before is null or before <> x.set)").select("v", "x", "before", "n"), "members")
-    fame = members.groupBy(F.col("x.set").alias("set")).agg(F.avg("n").alias("fame"))
-    famous = members.select("v", "x.set").join(fame, "set").groupBy("v").agg(F.max(F.struct("fame", "set")).alias("m")).select("v", F.col("m.set").alias("famous"))
+    keys = sig.where("prefix is not null").select("set", "size", "fame", F.posexplode("prefix").alias("pos", "v")).select("v", "set", "fame", F.expr("shiftleft(size, 32) + pos").alias("x"))
+    members = keys.select("v", "set", "x", F.lag("set").over(w).alias("before"), F.first("set").over(whole).alias("first"), F.last("set").over(whole).alias("last"))
+    members = materialize(members.where("first <> last and (before is null or before <> set)").drop("last"), "members")
     best = W.partitionBy("set").orderBy(F.desc("n"), "other")
-    met = lambda df, other: df.groupBy(F.col("x.set").alias("set"), F.col(other).alias("other")).agg(F.count("*").alias("n")).where("set <> other").withColumn("n", F.row_number().over(best)).where(f"n <= {FIRST_PAIRS}").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b"))
-    first = ball_pairs(sig).union(met(members.where("before is not null"), "before")).union(met(members.join(famous, "v"), "famous")).distinct()
+    met = lambda other: members.where(F.col(other) != F.col("set")).groupBy("set", F.col(other).alias("other")).agg(F.count("*").alias("n")).withColumn("n", F.row_number().over(best)).where(f"n <= {FIRST_PAIRS}").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b"))
     bits = materialize(sig.where("bits is not null").select("set", "size", "bits").dropDuplicates(["set"]), "bits")
-    first = first.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b").where(possible("bits_a", "bits_b", F.col("size_a"), F.col("size_b")))
+    first = ball_pairs(sig).union(met("before")).union(met("first")).distinct()
+    first = first.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b").where(within_bits("bits_a", "bits_b", F.col("size_a"), F.col("size_b")))
     links = materialize(confirmed(materialize(first.select("a", "b"), "first"), rows, sig, shingle), "links")
     found = components(links)
-    members = members.select("v", "x").join(found, F.col("x.set") == F.col("node"), "left").select("v", "x", F.coalesce("root", "x.set").alias("root"))
+    members = members.select("v", "set", "x").join(found, F.col("set") == F.col("node"), "left").select("v", "set", "x", F.coalesce("root", "set").alias("root"))
+    members = materialize(members, "rooted")
     mixed = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    members = materialize(members.join(mixed, "v").join(bits.select("set", "bits"), F.col("x.set") == F.col("set")).select("v", "x", "root", "bits"), "mixed")
+    members = members.join(mixed, "v").join(bits.select("set", "bits"), "set")
+    members = members.select("v", "set", "root", "bits", F.shiftright("x", 32).alias("size"), F.expr("x & 4294967295").alias("pos"))
+    later = members.toDF("v", "set2", "root2", "bits2", "size2", "pos2")
     # of two similar sets the smaller has a shared shingle even earlier
-    early = members.where(F.col("x.pos") <= F.col("x.size") * (1 - 2.0 * up / (up + down)) + 1e-6)
-    later = members.select("v", F.col("x").alias("y"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+    early = members.where(F.col("pos") <= F.col("size") * (1 - 2.0 * up / (up + down)) + 1e-6).withColumnRenamed("v", "v1")
+    after = (F.col("size2") > F.col("size")) | (F.col("size2") == F.col("size")) & (F.col("set2") > F.col("set"))
     # what they can share at most if this is the first that they share
-    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    may = most * (up + down) >= (F.col("x.size") + F.col("y.size")) * up
-    left = early.join(later, (early.v == later.v) & (F.col("y") > F.col("x")) & (F.col("root") != F.col("root2")) & may & possible("bits", "bits2", F.col("x.size"), F.col("y.size")))
-    left = materialize(left.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct(), "left")
+    may = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) * (up + down) >= (F.col("size") + F.col("size2")) * up
+    left = early.join(later, (F.col("v1") == F.col("v")) & after & (F.col("root") != F.col("root2")) & may & within_bits("bits", "bits2", F.col("size"), F.col("size2")))
+    left = materialize(left.select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct(), "left")
     more = materialize(confirmed(left, rows, sig, shingle), "links")
     return found if more.isEmpty() else components(links.union(more))
 
