@@ -2,14 +2,15 @@
 
 Token counts of all training documents are made in Spark. The most frequent tokens (the head, of bounded size) go to
 every task; the others are joined by a shuffle. The network reads and predicts tokens: the output softmax is factored
-into classes. Each of the first classes holds WORDS_IN_CLASS of the most frequent tokens, among which a second softmax
-chooses; further classes are bins of the head by rank, with their tokens' relative frequencies; the last class holds all
-other tokens, known or not, with add-one frequencies. So every token has a probability and they sum to one.
+into classes. The NEURAL most frequent tokens (all, of fewer) lie in as many classes as each has tokens, among which a
+second softmax chooses; further classes are bins of the head by rank, with their tokens' relative frequencies; the last class
+holds all other tokens, known or not, with add-one frequencies. So every token has a probability and they sum to one.
 
-Training: all training documents (or one in `share` of them, chosen by a hash) are dealt to tasks by
-size; each task runs truncated backpropagation through time from the same start, and Spark averages the parameters by
-token counts, ROUNDS times. Scoring: many documents run side by side in lanes, in windows; the state of a lane is
-carried from window to window until its document ends, so that the log-likelihood is that of the whole document.
+Texts are read twice, to count and to code; the codes are written to the shared folder. Training: the codes of all
+training documents are dealt to tasks; each task runs truncated backpropagation through time from the same start, and Spark
+averages the parameters by token counts, ROUNDS times. Documents run side by side in lanes, in windows, in training as in
+scoring; the state of a lane is carried from window to window until its document ends, so that the log-likelihood is that
+of the whole document.
 
 Defined results: a null text is empty and has the end token only. Without training documents every token is unknown and
 all scores are 0. Repeated rows get the same scores. Input columns beyond doc_id and text are not used.
@@ -27,20 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import crc_mod, materialize, table, texts
 
-#: Tokens in every task's dictionary; tokens that the network tells apart; those of one output class.
-HEAD, NEURAL, WORDS_IN_CLASS = 131_072, 1024, 32
+#: Tokens in every task's dictionary; tokens that the network tells apart.
+HEAD, NEURAL = 131_072, 4096
 #: Width of the state and of the embeddings.
 HIDDEN = 16
-#: One of so many training documents trains the network; tokens of a training task; rounds of averaging.
-SHARE, TASK_TOKENS, ROUNDS = 1, 1_000_000, 2
+#: Tokens of a training task; rounds of averaging.
+TASK_TOKENS, ROUNDS = 2_000_000, 1
 #: Training: steps of a window, most lanes, and updates that a pass should have (few documents run in fewer lanes).
-#: Longer documents train in pieces, so that no lane runs on alone; scoring never cuts them.
-TRAIN_WINDOW, TRAIN_LANES, UPDATES, PIECE = 32, 256, 150, 4096
+TRAIN_WINDOW, TRAIN_LANES, UPDATES = 32, 256, 150
 #: Scoring: lanes, steps of a window, and tokens that a task holds at once.
-LANES, WINDOW, HELD_TOKENS = 512, 64, 4_000_000
+LANES, WINDOW, HELD_TOKENS = 512, 32, 4_000_000
 #: The token at the end of each document; no word is empty.
 END = b""
 FLUSH = 400_000
@@ -79,8 +81,9 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         counts = np.array([n for _, n in head] + [0], np.float64)
         self.rest_total, self.rest_distinct = total - int(counts.sum()), distinct - len(head)
-        self.neural = min(NEURAL, len(head)) // WORDS_IN_CLASS * WORDS_IN_CLASS
-        self.word_classes = self.neural // WORDS_IN_CLASS
+        self.words = max(1, math.isqrt(min(NEURAL, len(head))))  # of one class
+        self.word_classes = min(NEURAL, len(head)) // self.words
+        self.neural = self.word_classes * self.words
         rank = np.arange(len(head) + 1)
         bins = np.log2(np.maximum(0, rank - self.neural) / NEURAL + 1).astype(np.int64)
         self.bins = int(bins[:-1].max()) + 1 if len(head) > self.neural else 0
@@ -102,11 +105,11 @@ class Vocabulary:
         own = np.append(counts[:-1], self.rest_total + 1)
         shares = np.bincount(self.class_of(self.code.astype(np.int64)), own, self.classes)
         self.class_bias = np.log(shares / shares.sum()).astype(np.float32)
-        words = counts[: self.neural].reshape(-1, WORDS_IN_CLASS)
+        words = counts[: self.neural].reshape(-1, self.words)
         self.word_bias = np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def class_of(self, code: np.ndarray) -> np.ndarray:
-        return np.where(code < self.neural, code // WORDS_IN_CLASS, code - self.neural + self.word_classes)
+        return np.where(code < self.neural, code // self.words, code - self.neural + self.word_classes)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -128,7 +131,7 @@ def fresh(v: Vocabulary, seed: int = 7) -> Params:
     h = HIDDEN
     w = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
     out = {"emb": w(v.codes, h), "wx": w(h, 3 * h, scale=0.25), "b": np.zeros(3 * h, np.float32), "u": w(h, 3 * h, scale=0.25)}
-    return out | {"wc": w(h, v.classes), "bc": v.class_bias, "ww": w(v.word_classes, h, WORDS_IN_CLASS), "bw": v.word_bias}
+    return out | {"wc": w(h, v.classes), "bc": v.class_bias, "ww": w(v.word_classes, h, v.words), "bw": v.word_bias}
 
 
 def lanes_of(lengths: list[int], width: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -156,31 +159,45 @@ def laid_out(docs: list[np.ndarray], width: int, start: int) -> tuple[np.ndarray
     return inputs, targets, at, used
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def recur(p: Params, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False):
+def recur(u: np.ndarray, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False):
     """States after each step for projected inputs x (steps, lanes, 3 * hidden) from state h; with keep, also what backpropagation needs."""
-    n, u = HIDDEN, p["u"]
-    states = np.empty((len(x), *h.shape), np.float32)
+    n = HIDDEN
+    states = np.empty((len(x), *h.shape), x.dtype)
     kept = []
+    any_start = starts.any(axis=1)
     for t in range(len(x)):
-        h = h * ~starts[t][:, None]
+        if any_start[t]:
+            h = h * ~starts[t][:, None]
         a = h @ u
-        gates = sigmoid(x[t, :, : 2 * n] + a[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[t, :, 2 * n :] + r * a[:, 2 * n :])
+        gates = x[t, :, : 2 * n] + a[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r, inner = gates[:, :n], gates[:, n:], a[:, 2 * n :]
+        new = r * inner
+        new += x[t, :, 2 * n :]
+        np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, new, a[:, 2 * n :]))
-        h = new + z * (h - new)
-        states[t] = h
+            kept.append((h, z, r, new, inner))
+        h = np.subtract(h, new, out=states[t])
+        h *= z
+        h += new
     return states, kept
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of logits, in their place, and the sums of their rows. States lie within -1 and 1, so they do not overflow."""
+    logits *= logits.dtype.type(math.log2(math.e))
+    np.exp2(logits, out=logits)  # the faster one in numpy
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def by_class(v: Vocabulary, kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of targets by class, and (class, first, end) of the frequent tokens' classes in it."""
+    order = np.argsort(kind.astype(np.int16), kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(v.word_classes + 1))
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
 
 
 def score(p: Params, v: Vocabulary, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
@@ -192,7 +209,7 @@ def score(p: Params, v: Vocabulary, docs: list[np.ndarray], lanes: int = LANES,
     for t in range(0, len(targets), window):
         active = sum(1 for x in used if x > t)
         own = inputs[t : t + window, :active]
-        states, _ = recur(p, table[own], own == v.codes - 1, h[:active])
+        states, _ = recur(p["u"], table[own], own == v.codes - 1, h[:active])
         h = states[-1]
         flat, want = states.reshape(-1, HIDDEN), targets[t : t + window, :active].reshape(-1)
         logp[t : t + window, :active] = log_likelihood(p, v, flat, want).reshape(own.shape)
@@ -202,74 +219,95 @@ def score(p: Params, v: Vocabulary, docs: list[np.ndarray], lanes: int = LANES,
 def log_likelihood(p: Params, v: Vocabulary, states: np.ndarray, want: np.ndarray) -> np.ndarray:
     out = np.zeros(len(want), np.float32)
     real = np.flatnonzero(want >= 0)
+    kind = v.class_of(want[real].astype(np.int64))
+    order, spans = by_class(v, kind)
+    real, kind = real[order], kind[order]
     states, want = states[real], want[real].astype(np.int64)
-    kind = v.class_of(want)
     logits = states @ p["wc"] + p["bc"]
-    value = logits[np.arange(len(want)), kind] - np.log(np.exp(logits).sum(axis=1))
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(v.word_classes + 1))
-    for k in range(v.word_classes):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            words = states[rows] @ p["ww"][k] + p["bw"][k]
-            value[rows] += words[np.arange(len(rows)), want[rows] - k * WORDS_IN_CLASS] - np.log(np.exp(words).sum(axis=1))
+    rows = np.arange(len(want))
+    value = logits[rows, kind] - np.log(shares(logits)[1])
+    for k, a, b in spans:
+        words = states[a:b] @ p["ww"][k] + p["bw"][k]
+        value[a:b] += words[rows[: b - a], want[a:b] - k * v.words] - np.log(shares(words)[1])
     out[real] = value
     return out
 
 
+def scattered(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """n sums of those x whose rows agree."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out = np.zeros((n, x.shape[1]), x.dtype)
+    out[rows[order[first]]] = np.add.reduceat(x[order], first, axis=0)
+    return out
+
+
 def gradients(p: Params, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """Of the mean loss of one window, by backpropagation to its first step; the state after it; the summed loss."""
     n = HIDDEN
     starts = inputs == v.codes - 1
-    e = p["emb"][inputs]
-    states, kept = recur(p, e @ p["wx"] + p["b"], starts, h, keep=True)
-    flat, want = states.reshape(-1, n), targets.reshape(-1).astype(np.int64)
-    real = want >= 0
-    scale = np.float32(1 / max(1, real.sum()))
-    kind = v.class_of(want)
-    logs = log_softmax(flat @ p["wc"] + p["bc"])
-    rows = np.flatnonzero(real)
-    loss = -float(logs[rows, kind[rows]].sum())
-    d = np.exp(logs)
-    d[rows, kind[rows]] -= 1
-    d *= (real * scale)[:, None]
-    g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    dflat = d @ p["wc"].T
-    for k in np.unique(kind[rows]):
-        if k >= v.word_classes:
-            continue
-        at = rows[kind[rows] == k]
-        logs = log_softmax(flat[at] @ p["ww"][k] + p["bw"][k])
-        i = want[at] - k * WORDS_IN_CLASS
-        loss -= float(logs[np.arange(len(at)), i].sum())
-        d = np.exp(logs)
-        d[np.arange(len(at)), i] -= 1
-        d *= scale
-        g["ww"][k], g["bw"][k] = flat[at].T @ d, d.sum(axis=0)
-        dflat[at] += d @ p["ww"][k].T
-    dstates, dx = dflat.reshape(states.shape), np.empty((*inputs.shape, 3 * n), np.float32)
+    states, kept = recur(p["u"], (p["emb"] @ p["wx"] + p["b"])[inputs], starts, h, keep=True)
+    flat = states.reshape(-1, n)
+    real = np.flatnonzero(targets.reshape(-1) >= 0)
+    kind = v.class_of(targets.reshape(-1)[real].astype(np.int64))
+    order, spans = by_class(v, kind)
+    real, kind = real[order], kind[order]
+    own, want, rows = flat[real], targets.reshape(-1)[real].astype(np.int64), np.arange(len(real))
+    scale = flat.dtype.type(1 / max(1, len(real)))
+    d = own @ p["wc"] + p["bc"]
+    loss = -float(d[rows, kind].sum(dtype=np.float64))
+    d, sums = shares(d)
+    loss += float(np.log(sums).sum(dtype=np.float64))
+    d *= (scale / sums)[:, None]
+    d[rows, kind] -= scale
+    g = {"wc": own.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+    down = d @ p["wc"].T
+    for k, a, b in spans:
+        d = own[a:b] @ p["ww"][k] + p["bw"][k]
+        i = want[a:b] - k * v.words
+        loss -= float(d[rows[: b - a], i].sum(dtype=np.float64))
+        d, sums = shares(d)
+        loss += float(np.log(sums).sum(dtype=np.float64))
+        d *= (scale / sums)[:, None]
+        d[rows[: b - a], i] -= scale
+        g["ww"][k], g["bw"][k] = own[a:b].T @ d, d.sum(axis=0)
+        down[a:b] += d @ p["ww"][k].T
+    dstates = np.zeros_like(flat)
+    dstates[real] = down
+    dstates = dstates.reshape(states.shape)
+    dx, da = np.empty((*inputs.shape, 3 * n), flat.dtype), np.empty((inputs.shape[1], 3 * n), flat.dtype)
+    ut, any_start = np.ascontiguousarray(p["u"].T), starts.any(axis=1)
     g["u"], dh = np.zeros_like(p["u"]), np.zeros_like(h)
     for t in range(len(inputs) - 1, -1, -1):
-        before, z, r, new, a = kept[t]
+        before, z, r, new, inner = kept[t]
         dh = dh + dstates[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dnew * r], axis=1)
-        dx[t] = np.concatenate([dz, dr, dnew], axis=1)
+        dnew = dh * (1 - z)
+        dnew *= 1 - new * new
+        dz = dx[t, :, :n]
+        np.subtract(before, new, out=dz)
+        dz *= dh
+        dz *= z
+        dz *= 1 - z
+        dr = dx[t, :, n : 2 * n]
+        np.multiply(dnew, inner, out=dr)
+        dr *= r
+        dr *= 1 - r
+        dx[t, :, 2 * n :] = dnew
+        da[:, : 2 * n] = dx[t, :, : 2 * n]
+        np.multiply(dnew, r, out=da[:, 2 * n :])
         g["u"] += before.T @ da
-        dh = (dh * z + da @ p["u"].T) * ~starts[t][:, None]
-    dx = dx.reshape(-1, 3 * n)
-    g["b"], g["wx"] = dx.sum(axis=0), e.reshape(-1, n).T @ dx
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], inputs.reshape(-1), dx @ p["wx"].T)
+        dh *= z
+        dh += da @ ut
+        if any_start[t]:
+            dh *= ~starts[t][:, None]
+    table = scattered(inputs.reshape(-1), dx.reshape(-1, 3 * n), v.codes)
+    g["b"], g["wx"], g["emb"] = table.sum(axis=0), p["emb"].T @ table, table @ p["wx"].T
     return g, states[-1], loss
 
 
 def train(p: Params, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.02, lanes: int | None = None, window: int = TRAIN_WINDOW) -> tuple[Params, float]:
     """One pass over docs; the parameters after it, and the mean loss on the way."""
     p = {k: x.copy() for k, x in p.items()}
-    docs = [d[i : i + PIECE] for d in docs for i in range(0, len(d), PIECE)]
     lanes = lanes or max(16, min(TRAIN_LANES, sum(map(len, docs)) // (window * UPDATES)))
     inputs, targets, _, used = laid_out(docs, lanes, v.codes - 1)
     first, second, lost, seen = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0.0, 0
@@ -285,10 +323,13 @@ def train(p: Params, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.02,
         # a window of few tokens, at the end of long documents, moves the parameters less
         now = rate * min(1.0, real / (lanes * window)) * min(1.0, step / 20) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         for k, x in g.items():
-            x = x * clip
+            x *= clip
             first[k] += 0.1 * (x - first[k])
-            second[k] += 0.01 * (x * x - second[k])
-            p[k] -= now * first[k] / (np.sqrt(second[k]) + 1e-7)
+            x *= x
+            second[k] += 0.01 * (x - second[k])
+            np.sqrt(second[k], out=x)
+            x += 1e-7
+            p[k] -= now * np.divide(first[k], x, out=x)
     return p, lost / max(1, seen)
 
 
@@ -310,91 +351,98 @@ def coder(v: Vocabulary):
     return lambda words: np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
 
 
-def fit(docs: DataFrame, v: Vocabulary, share: int = SHARE, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> Params:
-    """The network after training on one of share documents of docs(doc_id, text), chosen by a hash of both."""
-    sc = docs.sparkSession.sparkContext
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(share)) == 0)
-    sample = materialize(sample.where("text is not null"), "training")
-    tasks = int((sample.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * task_tokens)) + 1
-    dealt = materialize(sample.repartition(tasks, "h").sortWithinPartitions("h", "text"), "dealt") if tasks > 1 else sample.coalesce(1).sortWithinPartitions("h", "text")
+CODED = "row long, doc_id long, held_out boolean, h long, n_tokens long, known long, base double, in_bins double, rest array<struct<token: binary, n: long>>, codes binary"
+
+
+def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """CODED for docs(row, doc_id, held_out, h, text): sums over tokens of the head, the other tokens with counts, and what the network sees."""
+    words = docs.sparkSession.sparkContext.broadcast(v)
+    schema = to_arrow_schema(_parse_datatype_string(CODED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, ranks = words.value, coder(words.value)
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for text in texts(b):
+                tokens = tokens_of(text)
+                r = ranks(tokens)
+                others = np.flatnonzero(r < 0)
+                rest = Counter(tokens[i] for i in others)
+                one = (len(r), len(r) - len(others), float(v.known_base[r].sum()), float(v.in_bin[r].sum()), [{"token": t, "n": n} for t, n in rest.items()], v.code[r].tobytes())
+                for column, x in zip(out, one, strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[4:], strict=True))], schema=schema)
+
+    return docs.select("row", "doc_id", "held_out", "h", "text").mapInArrow(run, CODED)
+
+
+def codes_of(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """The other columns and the codes (column `at`, the last) of rows with about `most` codes together."""
+    rows: list[tuple] = []
+    codes: list[np.ndarray] = []
+    held = 0
+    for b in batches:
+        rows += zip(*(b.column(i).to_pylist() for i in range(at)), strict=True) if at else [()] * len(b)
+        for x in b.column(at):
+            codes.append(np.frombuffer(x.as_buffer(), np.int16))
+            held += len(codes[-1])
+        if held >= most:
+            yield rows, codes
+            rows, codes, held = [], [], 0
+    if codes:
+        yield rows, codes
+
+
+def fit(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> Params:
+    """The network after training on all of training(h, n_tokens, codes)."""
+    sc = training.sparkSession.sparkContext
+    tasks = int((training.agg(F.sum("n_tokens")).first()[0] or 0) // task_tokens) + 1
+    dealt = materialize((training.repartition(tasks, "h") if tasks > 1 else training.coalesce(1)).sortWithinPartitions("h", "codes").select("codes"), "dealt")
     p = fresh(v)
     words = sc.broadcast(v)
     for _ in range(rounds):
         sent = sc.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            v, ranks, p = words.value, coder(words.value), sent.value
-            docs: list[np.ndarray] = []
-            held = seen = 0
-            for b in batches:
-                for t in texts(b):
-                    docs.append(v.code[ranks(tokens_of(t))])
-                    held += len(docs[-1])
-                    if held >= task_tokens:
-                        p, _ = train(p, v, docs)
-                        docs, held, seen = [], 0, seen + held
-            if docs:
-                p, _ = train(p, v, docs)
-                seen += held
+            v, p, seen = words.value, sent.value, 0
+            for _, codes in codes_of(batches, 0, task_tokens):
+                p, _ = train(p, v, codes)
+                seen += sum(map(len, codes))
             if seen:
                 flat = packed(p).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["at", "x", "n"])
 
-        means = dealt.select("text").mapInArrow(run, "at long, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").collect()
+        means = dealt.mapInArrow(run, "at long, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").collect()
         if means:
             p = unpacked(np.array([r["x"] for r in means]), p)
     return p
 
 
-def scored(docs: DataFrame, v: Vocabulary, p: Params, held_tokens: int = HELD_TOKENS) -> DataFrame:
-    """docs(row, doc_id, held_out, text) as row, doc_id, held_out, n_tokens, known, base, neural and the tokens outside the head with counts."""
-    sc = docs.sparkSession.sparkContext
+def scored(found: DataFrame, v: Vocabulary, p: Params, held_tokens: int = HELD_TOKENS) -> DataFrame:
+    """row and neural, the log10 probability of the codes, for found(row, codes)."""
+    sc = found.sparkSession.sparkContext
     words, sent = sc.broadcast(v), sc.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, ranks, p = words.value, coder(words.value), sent.value
-        rows: list[tuple] = []
-        codes: list[np.ndarray] = []
-        held = 0
-
-        def pack() -> pa.RecordBatch:
-            neural = score(p, v, codes) / math.log(10)
-            cols = [list(c) for c in zip(*rows, strict=True)]
-            cols[6] = [a + float(b) for a, b in zip(cols[6], neural, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-        for b in batches:
-            for row, doc, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b), strict=True):
-                tokens = tokens_of(text)
-                r = ranks(tokens)
-                rest = Counter(tokens[i] for i in np.flatnonzero(r < 0))
-                rows.append((row, doc, out, len(r), int((r >= 0).sum()), float(v.known_base[r].sum()), float(v.in_bin[r].sum()), [{"token": t, "n": n} for t, n in rest.items()]))
-                codes.append(v.code[r])
-                held += len(r)
-                if held >= held_tokens:
-                    yield pack()
-                    rows, codes, held = [], [], 0
-        if rows:
-            yield pack()
+        for rows, codes in codes_of(batches, 1, held_tokens):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(score(sent.value, words.value, codes) / math.log(10))], ["row", "neural"])
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("rest", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))])
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, rest array<struct<token: binary, n: long>>")
+    return found.select("row", "codes").mapInArrow(run, "row long, neural double")
 
 
-def scores(docs: DataFrame, held_out: Column, head: int = HEAD, share: int = SHARE) -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs(doc_id, text), learnt from those not held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"), held_out.alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = materialize(token_counts(training), "counts")
+    counts = materialize(token_counts(docs.where(~F.col("held_out"))), "counts")
     v = vocabulary(counts, head)
-    p = fit(training, v, share)
-    found = materialize(scored(docs.withColumn("row", F.monotonically_increasing_id()), v, p), "scored")
+    found = materialize(coded(docs.withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("doc_id", "text")}), v), "coded")
+    p = fit(found.where(~F.col("held_out")).select("h", "n_tokens", "codes"), v)
     rest = found.select("row", F.explode("rest").alias("r")).select("row", "r.token", F.col("r.n").alias("k"))
     joined = rest.join(counts, "token", "left")
     tail = joined.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("seen"), F.sum("k").alias("others"))
-    out = found.drop("rest").join(tail, "row", "left").na.fill(0, ["logs", "seen", "others"])
+    out = found.drop("rest", "codes").join(scored(found, v, p), "row").join(tail, "row", "left").na.fill(0, ["logs", "seen", "others"])
     base = F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(math.log10(v.total + v.distinct + 1))
-    neural = F.col("neural") + F.col("logs") - F.col("others") * F.lit(math.log10(v.rest_total + v.rest_distinct + 1))
+    neural = F.col("neural") + F.col("in_bins") + F.col("logs") - F.col("others") * F.lit(math.log10(v.rest_total + v.rest_distinct + 1))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("seen")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), neural.alias("score"))
 
 

@@ -1,20 +1,27 @@
 """HTML extraction: main text after removal of site templates.
 
-Every page becomes a tree. Its subtrees are hashed, and Spark counts in how many pages of a host each hash occurs;
-subtrees that recur across many pages of their host are the site's template and are deleted. Inside an article (or main)
-element only boxes without prose (BOXES, PROSE) count; its paragraphs never do, however often they are quoted.
-Elements whose role says they are not main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) go as well. Without an article element the blocks that remain of the body are the text.
+Every page becomes a tree. Its block elements are hashed with all they hold, and Spark counts in how many different pages of a
+host each hash occurs. Template is, and is deleted:
+
+* an element without prose (no paragraph, heading or the like in it) that recurs across many pages of its host;
+* an element without prose in a place (the tags and classes from the root down) whose content recurs in a large share of the
+  host's pages: menus, adverts and footers drawn from a few variants, so also a variant that is new;
+* an element with prose in half of the host's pages or more, outside the main elements. A paragraph that recurs less is story.
+
+What the page says of itself is a second opinion: inside article (or main) elements only elements without prose can be
+template, and elements whose role is not main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments) go as well. Without a main element the blocks that remain of the body are the text.
 
 Defined results: a null or empty html has the empty text. A null url, or one without ://, counts under the empty host.
-Repeated rows count as pages of their own and get the same text.
-Input columns named text or n_chars are replaced.
+Equal pages of a host count once, and repeated rows get the same text.
+Input columns named text or n_chars are replaced; other columns come back, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,13 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import lower_az, map_rows, materialize, table
+from .common import lower_az, map_rows, materialize, small, table
 
-#: A subtree is template if it is in so many pages of its host, and in such a share of them.
+#: An element without prose is template if it is in so many pages of its host, and in such a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.05
 #: On a host of fewer than twice MIN_PAGES pages half of them suffice, but no fewer than FEWEST; the share is that of so many pages at most.
 FEWEST, SHARE_PAGES = 3, 2_000
-#: Template subtrees of all hosts that every task may hold; beyond it pages are joined with their host's.
+#: A place is template if such a share of its elements recur; inside main elements more is asked. Elements that a place needs.
+PLACE_SHARE, MAIN_SHARE, PLACE_ELEMENTS = 0.25, 0.5, 4
+#: Share of a host's pages that makes an element with prose template.
+PROSE_SHARE = 0.5
+#: Template hashes of all hosts that every task may hold; beyond it pages are joined with their host's.
 MAX_BROADCAST = 1_000_000
 
 # fixed values: the elements of the HTML standard by how they are read
@@ -43,35 +54,45 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
+#: Elements that are never shown.
+HIDDEN = frozenset("head script style noscript template iframe textarea title noembed noframes".split())
 #: Elements that never hold main text.
-DROP = frozenset("head script style noscript template iframe textarea title noembed noframes nav footer aside form button select option svg canvas object embed audio video map dialog menu search".split())
+DROP = HIDDEN | frozenset("nav footer aside form button select option svg canvas object embed audio video map dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words of class and id that name such parts.
 PARTS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 PHRASES = ("comment-", "comments-", "sidebar-", "site-header", "page-header", "site-footer", "main-menu", "user-comments", "reader-comments")
 MAIN = ("article", "main")
-#: What may be a site's box inside an article, unless it holds an element of prose.
-BOXES = frozenset("div ul ol dl section aside header details fieldset table center".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure article main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
+# a quote opens a value only after an equals sign; elsewhere it is a character of a name or of an unquoted value
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 NAME = re.compile(r"[A-Za-z0-9]+")
+DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element; children are nodes and strings (not yet decoded)."""
+    """An element, its number in the page and its parent's; children are nodes and strings (not yet decoded)."""
+
+    __slots__ = ("at", "attributes", "children", "tag", "up")
+
+    def __init__(self, tag: str, attributes: str, at: int, up: int):
+        self.tag, self.attributes, self.at, self.up = tag, attributes, at, up
+        self.children: list[Node | str] = []
 
-    __slots__ = ("attributes", "children", "tag")
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children = tag, attributes, []
+def parse(page: str) -> list[Node]:
+    """The elements of a page, the root first, parents before their children; unknown or missing end tags never fail."""
+    root = Node("html", "", 0, 0)
+    nodes, stack, at, end = [root], [root], 0, len(page)
+    open_tags: Counter = Counter(["html"])
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+        del stack[i:]
 
-def parse(page: str) -> Node:
-    """The tree of a page; unknown or missing end tags never fail."""
-    root = Node("html", "")
-    stack, at, end = [root], 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
@@ -84,37 +105,36 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "table", "body") and tag not in ("html", "body", "article", "main", "div", "section", "table"):
-                    break
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag in ("article", "table", "body") and tag not in ("html", "body", "article", "main", "div", "section", "table"):
+                        break
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
+        if tag == "html" or tag == "body" and open_tags[tag]:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK or stack[i].tag == "button":
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(open_tags[x] for x in ENDS[tag][0]):
             ended, around = ENDS[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in around:
                     break
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    close(i)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        if len(stack) > 400:  # deeper elements stay flat
-            stack[-1].children.append(" ")
-            continue
-        node = Node(tag, m[3] or "")
+        node = Node(tag, m[3] or "", len(nodes), stack[-1].at)
         stack[-1].children.append(node)
-        if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK and tag not in RAW:
+        nodes.append(node)
+        if tag in VOID or node.attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
@@ -122,14 +142,15 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
         else:
             stack.append(node)
-    return root
+            open_tags[tag] += 1
+    return nodes
 
 
 def is_part(node: Node) -> bool:
     """Whether the element's role says that it holds no main text."""
     if node.tag in DROP:
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(node.attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -137,74 +158,125 @@ def is_part(node: Node) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and (any(w in PARTS for w in value.split()) or any(w in PARTS for w in NAME.findall(value)) and len(NAME.findall(value)) <= 3 or any(p in value for p in PHRASES)):
-            return True
+        if name in ("class", "id"):
+            if any(w in PARTS for w in value.split()):
+                return True
+            # names made of several words, of elements that are not named as the page's content
+            if node.tag not in MAIN and (any(p in value for p in PHRASES) or len(NAME.findall(value)) <= 3 and any(w in PARTS for w in NAME.findall(value))):
+                return True
     return False
 
 
-def find_main(node: Node) -> list[Node]:
-    """The outermost article elements, else main elements, that are no part of something else."""
-    for wanted in MAIN:
-        found: list[Node] = []
-        todo = [node]
-        while todo:
-            x = todo.pop()
-            for c in reversed(x.children):
-                if isinstance(c, Node) and not is_part(c):
-                    todo.append(c)
-            if x.tag == wanted:
-                if not any(x in inside(y) for y in found):
-                    found.append(x)
-        if found:
-            return found
-    return []
-
-
-def inside(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo += [c for c in x.children if isinstance(c, Node)]
-
-
-def hashes(node: Node, skip: set[int], out: dict[int, int]) -> int | None:
-    """The hash of a subtree by tags and text; fills out with id of node -> hash. Nothing around a skipped node has one."""
-    own: list[str] = [node.tag]
-    whole = id(node) not in skip
-    if not whole:
-        return None
-    for c in node.children:
-        if isinstance(c, Node):
-            h = hashes(c, skip, out)
-            if h is None:
-                whole = False
-            own.append(f"<{h}>")
-        elif c.strip():
-            own.append(" ".join(c.split()))
-    if not whole:
-        return None
-    h = xxh64_intdigest("\0".join(own))
-    h = h - (1 << 64) if h >> 63 else h
-    out[id(node)] = h
-    return h
-
-
-def blocks(node: Node, gone: set[int], out: list[str], parts: list[str]) -> None:
-    """Appends the text of node's blocks to out; parts collects the block that is being read."""
-    for c in node.children:
-        if not isinstance(c, Node):
-            parts.append(c)
-        elif id(c) in gone or is_part(c):
-            parts.append(" ")
-        elif c.tag == "br":
-            parts.append(" ")
-        elif c.tag in BLOCK:
-            flush(out, parts)
-            blocks(c, gone, out, parts)
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def class_of(node: Node) -> str:
+    """The value of the class attribute without digits."""
+    if "class" not in node.attributes.lower():
+        return ""
+    return next((DIGITS.sub("", m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attributes) if m[1].lower() == "class"), "")
+
+
+class Page:
+    """A page's elements and, by their number, what is known of them. With roles, parts and main elements are found."""
+
+    def __init__(self, page: str, roles: bool = True):
+        self.nodes = nodes = parse(page)
+        n = len(nodes)
+        self.gone = gone = [False] * n
+        for x in nodes[1:]:
+            gone[x.at] = gone[x.up] or (is_part(x) if roles else x.tag in HIDDEN)
+        # from the leaves up: characters of text that is shown, and whether there is prose
+        self.shown, self.chars, self.prose = [0] * n, [0] * n, [x.tag in PROSE for x in nodes]
+        for x in reversed(nodes):
+            if x.tag not in HIDDEN:
+                self.chars[x.at] += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+                self.chars[x.up] += self.chars[x.at] if x.at else 0
+                self.prose[x.up] |= self.prose[x.at]
+            if not gone[x.at]:
+                self.shown[x.at] += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+                self.shown[x.up] += self.shown[x.at] if x.at else 0
+        self.main = self.find_main() if roles else []
+        # 1 for elements inside a main element, 2 for those that hold one or are one
+        self.kind = kind = [0] * n
+        for i in self.main:
+            while i and kind[i] != 2:
+                kind[i], i = 2, nodes[i].up
+        main = set(self.main)
+        for x in nodes[1:]:
+            if kind[x.at] == 0 and (x.up in main or kind[x.up] == 1):
+                kind[x.at] = 1
+        if roles and not main:
+            for x in nodes:
+                gone[x.at] = gone[x.at] or x.tag == "header"
+
+    def find_main(self) -> list[int]:
+        """The outermost article elements; main elements instead, if what they hold beside their articles is longer than these."""
+        outer: dict[str, list[int]] = {}
+        inside: dict[str, list[bool]] = {}
+        for wanted in MAIN:
+            outer[wanted], within = [], [False] * len(self.nodes)
+            for x in self.nodes[1:]:
+                within[x.at] = within[x.up] or x.up > 0 and self.nodes[x.up].tag == wanted
+                if x.tag == wanted and not within[x.at] and not self.gone[x.at]:
+                    outer[wanted].append(x.at)
+            inside[wanted] = within
+        if not outer["main"]:
+            return outer["article"]
+        held = [i for i in outer["article"] if inside["main"][i]]
+        articles = sum(self.shown[i] for i in held)
+        return held if articles and 2 * articles >= sum(self.shown[i] for i in outer["main"]) else outer["main"]
+
+    def candidates(self) -> Iterator[tuple[int, int, int, int]]:
+        """(number, kind, hash, place) of elements with text that may be template: kind 0 without prose, 1 such inside a main element, 2 with prose.
+
+        The hash is of all that the element holds, the place of tags and classes from the root.
+        """
+        nodes, n = self.nodes, len(self.nodes)
+        may = [0 < x.at and self.chars[x.at] > 0 and self.kind[x.at] < 2 and x.tag in BLOCK and x.tag != "body" and x.tag not in HIDDEN and not (self.prose[x.at] and self.kind[x.at]) for x in nodes]
+        needed, place, own = list(may), [0] * n, [0] * n
+        for x in nodes[1:]:
+            needed[x.at] = needed[x.at] or needed[x.up]
+            if needed[x.at] or self.kind[x.at] == 2 or nodes[x.up].up == 0 or self.prose[x.at]:
+                place[x.at] = signed(xxh64_intdigest(f"{place[x.up]} {x.tag} {class_of(x)}"))
+        for x in reversed(nodes):
+            if needed[x.at]:
+                words = [x.tag]
+                for c in x.children:
+                    words += c.split() if isinstance(c, str) else (f"<{own[c.at]}>",)
+                own[x.at] = signed(xxh64_intdigest(" ".join(words)))
+        for x in nodes:
+            if may[x.at]:
+                yield x.at, 2 if self.prose[x.at] else self.kind[x.at], own[x.at], place[x.at]
+
+    def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
+        """The blocks of the main elements, or of the body, without elements that are template."""
+        gone = self.gone
+        if template:
+            gone = list(gone)
+            for i, kind, own, place in self.candidates():
+                gone[i] = gone[i] or own in template or kind < 2 and place in template
+        out: list[str] = []
+        parts: list[str] = []
+        for top in self.main or [0]:
+            todo: list[Node | str | None] = [self.nodes[top]]
+            while todo:
+                x = todo.pop()
+                if x is None:
+                    flush(out, parts)
+                elif isinstance(x, str):
+                    parts.append(x)
+                elif gone[x.at] or x.tag == "br":
+                    parts.append(" ")
+                elif x.tag in BLOCK:
+                    flush(out, parts)
+                    todo.append(None)
+                    todo += reversed(x.children)
+                else:
+                    todo += reversed(x.children)
             flush(out, parts)
-        else:
-            blocks(c, gone, out, parts)
+        return "\n\n".join(out)
 
 
 def flush(out: list[str], parts: list[str]) -> None:
@@ -214,108 +286,74 @@ def flush(out: list[str], parts: list[str]) -> None:
         out.append(text)
 
 
-def has_text(node: Node) -> bool:
-    return any(c.strip() if not isinstance(c, Node) else has_text(c) for c in node.children)
-
-
-def candidates(root: Node, main: list[Node]) -> dict[int, int]:
-    """id of node -> hash of the subtrees with text that may be template: those outside the main elements, and the boxes in them without prose."""
-    found: dict[int, int] = {}
-    hashes(root, {id(x) for x in main}, found)
-    out = {id(x): found[id(x)] for x in inside(root) if id(x) in found and x.tag not in ("html", "body", "head") and x.tag not in RAW and has_text(x)}
-    for m in main:
-        within: dict[int, int] = {}
-        for c in m.children:
-            if isinstance(c, Node):
-                hashes(c, set(), within)
-        for x in inside(m):
-            if x is not m and x.tag in BOXES and has_text(x) and not any(y.tag in PROSE for y in inside(x)):
-                out[id(x)] = within[id(x)]
-    return out
-
-
-def template_hashes(page: str) -> list[int]:
-    """The hashes of a page's subtrees that may be template, once each."""
-    root = parse(page)
-    return sorted(set(candidates(root, find_main(root)).values()))
-
-
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the main elements, or of the body, without subtrees whose hash is template."""
-    if not page:
-        return ""
-    root = parse(page)
-    main = find_main(root)
-    gone: set[int] = set()
-    if not main or template:
-        gone = {i for i, h in candidates(root, main).items() if h in template}
-        if not main:
-            gone |= {id(x) for x in inside(root) if x.tag == "header"}
-    out: list[str] = []
-    parts: list[str] = []
-    for x in main or [root]:
-        blocks(x, gone, out, parts)
-        flush(out, parts)
-    return "\n\n".join(out)
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), roles: bool = True) -> str:
+    return Page(page, roles).text(template) if page else ""
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("__host", lower_az(F.coalesce(F.regexp_extract("url", r"^(?s).*?://([^/?#]*)", 1), F.lit(""))))
+    """host, h (hash of the page) and row, which holds all columns, so that no name of theirs matters."""
+    host = lower_az(F.coalesce(F.regexp_extract("url", r"^(?s).*?://([^/?#]*)", 1), F.lit("")))
+    return pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), "html").withColumn("h", F.xxhash64("host", "html"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(__host, hash) of the subtrees that recur across many pages of their host, for pages(__host, html)."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, roles: bool = True) -> DataFrame:
+    """(host, key): hashes of template elements and of template places, for pages(host, h, html)."""
+    # equal pages count once: each of m copies counts 1 / m
+    copies = materialize(pages.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "copies")
+    weighed = pages.select("host", "h", "html").join(small(copies), "h", "left").select("host", (1 / F.coalesce("m", F.lit(1))).alias("w"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # counted in the batch before anything is sent; the hash None counts the pages
-            seen: dict[tuple[str, int | None], int] = {}
-            for host, page in zip(b.column("__host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                for h in [None, *template_hashes(page or "")]:
-                    seen[host, h] = seen.get((host, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["__host", "hash", "n"])
-
-    counts = pages.select("__host", "html").mapInArrow(run, "__host string, hash long, n long").groupBy("__host", "hash").agg(F.sum("n").alias("n"))
-    sizes = counts.where("hash is null").select("__host", F.col("n").alias("pages"))
-    often = counts.where(f"hash is not null and n >= {min(min_pages, FEWEST)}")
-    half = F.when(F.col("pages") < 2 * min_pages, F.greatest(F.col("pages") / 2, F.lit(min(min_pages, FEWEST)))).otherwise(min_pages)
-    return often.join(sizes, "__host").where((F.col("n") >= half) & (F.col("n") >= F.least("pages", F.lit(SHARE_PAGES)) * min_share)).select("__host", "hash")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """pages(url, html) with text and n_chars."""
-    keep = [c for c in pages.columns if keep is None or c in keep]
+            # added up in the batch before anything is sent; kind -1 counts the pages
+            seen: dict[tuple[str, int, int, int], float] = {}
+            for host, w, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = {(kind, own, 0 if kind == 2 else place) for _, kind, own, place in Page(page, roles).candidates()} if page else ()
+                for key in ((-1, 0, 0), *found):
+                    seen[host, *key] = seen.get((host, *key), 0.0) + w
+            columns = zip(*seen) if seen else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int8(), pa.int64(), pa.int64()), strict=True)), pa.array(list(seen.values()), pa.float64())], ["host", "kind", "own", "place", "n"])
+
+    schema = "host string, kind byte, own long, place long, n double"
+    counts = weighed.mapInArrow(run, schema).groupBy("host", "kind", "own", "place").agg(F.round(F.sum("n"), 3).alias("n"))
+    counts = materialize(counts, "counts")
+    sizes = counts.where("kind = -1").select("host", F.col("n").alias("pages"))
+    # the same content may stand in several places
+    often = counts.where(f"kind >= 0 and n >= {min(2, min_pages, FEWEST)}").groupBy("host", "kind", F.col("own").alias("key")).agg(F.sum("n").alias("n")).join(sizes, "host")
+    half = F.greatest(F.col("pages") * PROSE_SHARE, F.lit(min(min_pages, FEWEST)))
+    many = F.when(F.col("pages") < 2 * min_pages, half).otherwise(F.greatest(F.lit(float(min_pages)), F.least("pages", F.lit(float(SHARE_PAGES))) * min_share))
+    elements = often.where(F.col("n") >= F.when(F.col("kind") == 2, half).otherwise(many)).select("host", "key")
+    places = counts.where("kind in (0, 1)").groupBy("host", "kind", F.col("place").alias("key")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1.5, F.col("n")).otherwise(0.0)).alias("again"))
+    places = places.where((F.col("all") >= PLACE_ELEMENTS) & (F.col("again") >= F.col("all") * F.when(F.col("kind") == 1, MAIN_SHARE).otherwise(PLACE_SHARE))).select("host", "key")
+    return elements.union(places).distinct()
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST, roles: bool = True, remove: bool = True) -> DataFrame:
+    """pages(url, html) with text and n_chars. Without roles the page's own word is not heard, without remove no template goes (both to measure)."""
+    kept = [c for c in pages.columns if (keep is None or c in keep) and c.lower() not in ("text", "n_chars")]
     pages = with_host(pages)
-    found = materialize(templates(pages, min_pages, min_share), "templates")
+    found = materialize(templates(pages, min_pages, min_share, roles).where(F.lit(remove)), "templates")
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    rows = pages.select("host", "html", F.struct(*[F.col("row")[c].alias(c) for c in kept]).alias("row"))
+    # checked: at most max_broadcast pairs
+    sent = None
     if found.count() <= max_broadcast:
-        # checked: at most max_broadcast pairs
         sets: dict[str, set[int]] = {}
         for r in found.toLocalIterator():
-            sets.setdefault(r["__host"], set()).add(r["hash"])
+            sets.setdefault(r["host"], set()).add(r["key"])
         sent = pages.sparkSession.sparkContext.broadcast(sets)
+    else:
+        rows = rows.join(found.groupBy("host").agg(F.collect_list("key").alias("template")), "host", "left")
 
-        def make():
-            sets = sent.value
-
-            def fn(batch):
-                out = [main_text(p or "", sets.get(h, frozenset())) for h, p in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-                return [out, [len(t) for t in out]]
-
-            return fn
-
-        return map_rows(pages, make, fields, keep)
-    sets = found.groupBy("__host").agg(F.collect_list("hash").alias("__template"))
-    pages = pages.join(sets, "__host", "left")
-
-    def make_joined():
+    def make():
         def fn(batch):
-            out = [main_text(p or "", frozenset(t or ())) for t, p in zip(batch.column("__template").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            hosts = batch.column("host").to_pylist()
+            sets = [sent.value.get(h, frozenset()) for h in hosts] if sent else [frozenset(t or ()) for t in batch.column("template").to_pylist()]
+            out = [main_text(p or "", t, roles) for t, p in zip(sets, batch.column("html").to_pylist(), strict=True)]
             return [out, [len(t) for t in out]]
 
         return fn
 
-    return map_rows(pages, make_joined, fields, keep)
+    return map_rows(rows, make, fields, ["row"]).select("row.*", "text", "n_chars")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
