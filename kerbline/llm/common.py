@@ -38,6 +38,18 @@ def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default of 10,000: texts may be long, and buffers are kept.
+BATCH_ROWS = 1024
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows, unless the session sets another number."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Sequence]],
@@ -61,7 +73,7 @@ def map_rows(
             cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(fn(b), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), *cols], out.names)
 
-    return df.mapInArrow(run, out)
+    return in_arrow(df, run, out)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterator[bytes | None]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import crc_mod, materialize, table, texts
+from .common import crc_mod, in_arrow, materialize, table, texts
 
 #: Tokens in every task's dictionary; tokens that the network tells apart.
 HEAD, NEURAL = 131_072, 4096
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     counts.clear()
         yield pack()
 
-    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -373,7 +373,7 @@ def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[4:], strict=True))], schema=schema)
 
-    return docs.select("row", "doc_id", "held_out", "h", "text").mapInArrow(run, CODED)
+    return in_arrow(docs.select("row", "doc_id", "held_out", "h", "text"), run, CODED)
 
 
 def codes_of(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
@@ -412,7 +412,7 @@ def fit(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS, task_tokens: i
                 flat = packed(p).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["at", "x", "n"])
 
-        means = dealt.mapInArrow(run, "at long, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").collect()
+        means = in_arrow(dealt, run, "at long, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").collect()
         if means:
             p = unpacked(np.array([r["x"] for r in means]), p)
     return p
@@ -427,7 +427,7 @@ def scored(found: DataFrame, v: Vocabulary, p: Params, held_tokens: int = HELD_T
         for rows, codes in codes_of(batches, 1, held_tokens):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(score(sent.value, words.value, codes) / math.log(10))], ["row", "neural"])
 
-    return found.select("row", "codes").mapInArrow(run, "row long, neural double")
+    return in_arrow(found.select("row", "codes"), run, "row long, neural double")
 
 
 def scores(docs: DataFrame, held_out: Column, head: int = HEAD) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import lower_az, map_rows, materialize, small, table
+from .common import in_arrow, lower_az, map_rows, materialize, small, table
 
 #: An element without prose is template if it is in so many pages of its host, and in such a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.05
@@ -314,7 +314,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int8(), pa.int64(), pa.int64()), strict=True)), pa.array(list(seen.values()), pa.float64())], ["host", "kind", "own", "place", "n"])
 
     schema = "host string, kind byte, own long, place long, n double"
-    counts = weighed.mapInArrow(run, schema).groupBy("host", "kind", "own", "place").agg(F.round(F.sum("n"), 3).alias("n"))
+    counts = in_arrow(weighed, run, schema).groupBy("host", "kind", "own", "place").agg(F.round(F.sum("n"), 3).alias("n"))
     counts = materialize(counts, "counts")
     sizes = counts.where("kind = -1").select("host", F.col("n").alias("pages"))
     # the same content may stand in several places

@@ -290,7 +290,7 @@ def brute_forward(p, v, codes):
         total += logits[k] - np.log(np.exp(logits).sum())
         if k < v.word_classes:
             w = h @ p["ww"][k] + p["bw"][k]
-            total += w[c - k * gru_lm.WORDS_IN_CLASS] - np.log(np.exp(w).sum())
+            total += w[c - k * v.words] - np.log(np.exp(w).sum())
     return total
 
 
@@ -349,11 +349,13 @@ def test_lm_base_score_matches_brute_force(spark):
 
 
 def test_lm_trains_on_every_document(spark, monkeypatch):
-    texts, train = [], gru_lm.materialize
-    monkeypatch.setattr(gru_lm, "materialize", lambda df, label: (texts.extend(r.text for r in df.collect()) if label == "training" else None) or train(df, label))
-    docs = docs_of(spark, [(i, prose(20)) for i in range(30)])
-    gru_lm.fit(docs, gru_lm.vocabulary(gru_lm.token_counts(docs)), rounds=1)
-    assert sorted(texts) == sorted(r.text for r in docs.collect())
+    dealt, write = [], gru_lm.materialize
+    monkeypatch.setattr(gru_lm, "materialize", lambda df, label: (dealt.extend(bytes(r.codes) for r in df.collect()) if label == "dealt" else None) or write(df, label))
+    docs = docs_of(spark, [(i, prose(20)) for i in range(30)]).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), F.xxhash64("text").alias("h"), "text")
+    v = gru_lm.vocabulary(gru_lm.token_counts(docs))
+    found = gru_lm.coded(docs, v)
+    gru_lm.fit(found.select("h", "n_tokens", "codes"), v, rounds=1, task_tokens=100)
+    assert sorted(dealt) == sorted(bytes(r.codes) for r in found.collect()) and len(dealt) == 30
 
 
 # ---- 10 near duplicates
