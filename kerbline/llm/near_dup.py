@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import map_rows, materialize, small, table, texts
+from .common import in_arrow, map_rows, materialize, small, table, texts
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -170,7 +170,7 @@ def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
     sample = rows.where(F.pmod("th", F.lit(ORDER_SAMPLE)) == 0).select("th", "text").dropDuplicates(["th"])
-    counts = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = in_arrow(sample.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # at most MAX_COMMON rows
     found = sorted((r["h"], r["n"]) for r in counts.where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect())
     return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
@@ -255,17 +255,25 @@ def confirmed(pairs: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int) -
     long = sig.where("sketch is not null").select("set", "size", "sketch").dropDuplicates(["set"])
     pairs = pairs.join(long.toDF("a", "size_a", "x"), "a", "left").join(long.toDF("b", "size_b", "y"), "b", "left")
     pairs = materialize(pairs.where(within_sketch("x", "y", F.col("size_a"), F.col("size_b"))).select("a", "b"), "possible")
+    # one row of each set that is asked for: of keys (doc_id, th) those that one row has first, as only rows of others must be made distinct
     asked = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "asked")
-    asked = materialize(sig.select("set", "th").join(small(asked), "set").groupBy("set").agg(F.min("th").alias("th")), "asked")
+    keys = sig.join(small(asked), "set").groupBy("set", "doc_id", "th").agg(F.count("*").alias("n"))
+    keys = keys.groupBy("set").agg(F.min(F.struct(F.col("n") > 1, F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
+    asked = materialize(keys.select("set", F.col("k.col1").alias("again"), F.col("k.doc_id").alias("d"), F.col("k.th").alias("t")), "asked")
 
     def make():
         return lambda batch: [[shingle_set(shingle_hashes(t, shingle)) for t in texts(batch)]]
 
-    sets = map_rows(rows.select("th", "text").join(small(asked), "th"), make, [T.StructField("s", T.ArrayType(T.LongType()))], keep=["set"]).groupBy("set").agg(F.first("s").alias("s"))
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    found = rows.select("doc_id", "th", "text").join(small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    sets = materialize(map_rows(found, make, [T.StructField("s", T.ArrayType(T.LongType()))], keep=["set", "again"]), "sets")
+    sets = sets.where("not again").select("set", "s").union(sets.where("again").groupBy("set").agg(F.first("s").alias("s")))
+    # the set with more pairs is sent once, the other one for each of its pairs
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n")), "degrees")
+    pairs = pairs.join(small(degree.toDF("a", "n")), "a").join(small(degree.toDF("b", "k")), "b")
+    pairs = materialize(pairs.select(F.when(F.col("n") >= F.col("k"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("n") >= F.col("k"), F.col("b")).otherwise(F.col("a")).alias("other")), "oriented")
+    both = sets.toDF("other", "y").join(small(pairs), "other").join(sets.toDF("hub", "x"), "hub")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * down >= (F.size("x") + F.size("y") - shared) * up).select("a", "b")
+    return both.where(shared * down >= (F.size("x") + F.size("y") - shared) * up).select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
 
 
 def ball_pairs(sig: DataFrame) -> DataFrame:
