@@ -2,13 +2,20 @@
 
 An ARC file names its version and the fields of its header lines in its first record; later records are one header line,
 as many bytes as the line declares, and a line feed. Each becomes a WARC record with a synthesised identifier (a
-name-based UUID), date, type and digests. Of the records with equal payloads of at least MIN_REVISIT bytes that with the
-smallest page id stays a response; the others become revisits without a payload. Archives are read by Spark as whole
-binary files, one for each task that wrote, and parsed as streams by declared lengths, so payloads may hold anything.
+name-based UUID of the archive's name, the record's offset, URL and date), date, type and digests. Of the records with equal
+payloads of at least MIN_REVISIT bytes the first stays a response: that with the smallest page id, or without page ids the
+first by archive and offset. The others become revisits without a payload. Archives are read by Spark as whole binary
+files, one for each task that wrote, and parsed as streams by declared lengths, so payloads may hold anything.
 
-Defined results: a null html is an empty payload. A null url is written as "-"; blanks in one are percent-encoded. A null
-page id never is the smallest: such a record revisits the smallest there is, and is a response where there is none.
-Records that share both the smallest page id and the payload are all responses.
+Conversion reads the archives twice and shuffles no payload: the first time gives digests, of which only those that records
+share are kept (and broadcast, if they are few), the second time writes.
+
+A header line that cannot be read, a length that is no number or reaches beyond the file become rejected rows with a reason
+(read_rejected), and reading goes on at the next line that is a header. Blanks and bytes beyond ASCII in a URL are
+percent-encoded, dates of fewer digits are filled up with zeros, and an odd page id counts as none.
+
+Defined results: a null html is an empty payload. A null url is written as "-". A null page id never is the smallest: such
+a record revisits the smallest there is. Records that share both the smallest page id and the payload are all responses.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import shared_path, table
+from .common import materialize, shared_path, small, table
 
 MIN_REVISIT = 100
 #: The date of records whose source has none.
@@ -38,7 +47,9 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "page_id long, url string, ip string, date string, http binary, payload binary"
+RECORD = "page_id long, url string, ip string, date string, http binary, payload binary, digest string, file string, offset long, reason string"
+#: Names of a URL's characters that stay as they are.
+URL_SAFE = "%/:=&?~#+!$,;@()*[]'"
 
 
 def arc_filedesc(version: int, name: str) -> bytes:
@@ -50,7 +61,7 @@ def arc_filedesc(version: int, name: str) -> bytes:
 def arc_record(version: int, name: str, page_id: int | None, url: str | None, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     http += (b"X-Page-Id: %d\r\n" % page_id if page_id is not None else b"") + b"\r\n"
-    line = f"{quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39)) if url else '-'} 0.0.0.0 {DATE} text/html"
+    line = f"{quote(url, safe=URL_SAFE) if url else '-'} 0.0.0.0 {DATE} text/html"
     line += f" 200 {hashlib.md5(payload).hexdigest()} - 0 {name}" if version == 2 else ""
     return b"%s %d\n" % (line.encode(), len(http) + len(payload)) + http + payload
 
@@ -85,88 +96,137 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 def page_of(http: bytes) -> int | None:
     for line in http.split(b"\r\n"):
         if line.lower().startswith(b"x-page-id:"):
-            return int(line.split(b":", 1)[1])
+            value = line.split(b":", 1)[1].strip()
+            return int(value) if value.isdigit() and len(value) < 19 else None
+    return None
+
+
+def header_of(line: bytes, fields: list[bytes]) -> dict[bytes, bytes] | None:
+    """The values of a header line; blanks within it belong to the URL, or else to the content type. None if it is no header."""
+    values = line.split()
+    extra = len(values) - len(fields)
+    if extra < 0 or not values[-1].isdigit() or len(values[-1]) > 15:
+        return None
+    for at in (fields.index(b"URL"), fields.index(b"Content-type")) if extra else (0,):
+        found = dict(zip(fields, [*values[:at], b"%20".join(values[at : at + extra + 1]), *values[at + extra + 1 :]], strict=True))
+        if found[b"Archive-date"].isdigit() and 4 <= len(found[b"Archive-date"]) <= 14:
+            return found
     return None
 
 
-def parse_arc(stream) -> Iterator[dict]:
-    """The records after the first, which tells the version's fields."""
+def rejected(offset: int, reason: str, line: bytes = b"") -> dict:
+    return {"url": line[:200].decode(errors="replace"), "offset": offset, "reason": reason}
+
+
+def parse_arc(stream, size: int | None = None) -> Iterator[dict]:
+    """The records after the first, which tells the version's fields; what cannot be read has a reason, once for each run of lines."""
     fields: list[bytes] = ARC_FIELDS[1].split()
-    while line := stream.readline():
+    lost = False
+    while True:
+        offset = stream.tell()
+        line = stream.readline()
+        if not line:
+            return
         if not line.strip():
             continue
-        values = line.split()
-        if line.startswith(b"filedesc://"):
-            block = stream.read(int(values[-1]))
-            version = int(block.split(None, 1)[0])
-            lines = block.split(b"\n")
-            fields = lines[1].split() if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version].split()
+        if line.startswith(b"filedesc://") and line.split()[-1].isdigit():
+            block = stream.read(int(line.split()[-1]))
+            lines, version = block.split(b"\n"), block.split(None, 1)[:1]
+            named = lines[1].split() if len(lines) > 1 else []
+            fields = named if {b"URL", b"IP-address", b"Archive-date", b"Content-type", b"Archive-length"} <= set(named) and named[-1] == b"Archive-length" else ARC_FIELDS.get(int(version[0]) if version and version[0].isdigit() else 1, ARC_FIELDS[1]).split()
+            continue
+        at = header_of(line, fields)
+        if at is None:
+            if not lost:
+                yield rejected(offset, "no header line", line)
+            lost = True
             continue
-        if len(values) != len(fields):
-            raise ValueError(f"an ARC header line has {len(values)} fields instead of {len(fields)}: {line[:200]!r}")
-        at = dict(zip(fields, values, strict=True))
-        block = stream.read(int(at[b"Archive-length"]))
+        lost = False
+        length = int(at[b"Archive-length"])
+        block = stream.read(length)
+        if len(block) < length:
+            yield rejected(offset, "shorter than declared", line)
+            return
         http, payload = split_http(block)
-        yield {"page_id": page_of(http), "url": at[b"URL"].decode(), "ip": at[b"IP-address"].decode(), "date": at[b"Archive-date"].decode(), "http": http, "payload": payload}
+        yield {
+            "page_id": page_of(http), "url": quote(at[b"URL"], safe=URL_SAFE), "ip": at[b"IP-address"].decode(errors="replace"), "date": at[b"Archive-date"].decode().ljust(14, "0"),
+            "http": http, "payload": payload, "digest": hashlib.sha256(payload).hexdigest(), "offset": offset,
+        }
 
 
 def read_archives(spark: SparkSession, path: str, parse, schema: str, batch_bytes: int = 8 << 20) -> DataFrame:
-    """A row for each record that parse(stream) yields of every gzip file under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """A row for each record that parse(stream) yields of every gzip file under path, with the file's name where schema has it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                name = {"file": file.rpartition("/")[2]} if "file" in arrow.names else {}
                 rows, size = [], 0
-                for r in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
-                    rows.append(r)
+                for r in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
+                    rows.append({**r, **name})
                     size += sum(len(v) for v in r.values() if isinstance(v, (bytes, str)))
                     if size > batch_bytes:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     return files.mapInArrow(run, schema)
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    return read_archives(spark, path, parse_arc, RECORD)
+def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """RECORD of every ARC record that could be read; without payloads n_bytes instead."""
+    if with_payload:
+        return read_archives(spark, path, parse_arc, RECORD).where("reason is null").drop("reason")
+    light = lambda stream: ({k: v for k, v in r.items() if k not in ("http", "payload")} | {"n_bytes": len(r.get("payload", b""))} for r in parse_arc(stream))
+    return read_archives(spark, path, light, RECORD.replace("http binary, payload binary", "n_bytes long")).where("reason is null").drop("reason")
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, reason and the line of what read_arc() left out."""
+    lines = lambda stream: (r for r in parse_arc(stream) if r.get("reason"))
+    return read_archives(spark, path, lines, "file string, offset long, reason string, url string").withColumnRenamed("url", "line")
+
+
+#: The key of the first record of those with equal payloads, and what its identifier is made of.
+FIRST = ["page_id", "file", "offset", "url", "date"]
 
 
-def with_references(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """records with digest (SHA-256 of the payload) and refers_to (the smallest page id of an equal payload, for revisits)."""
-    records = records.withColumn("digest", F.sha2("payload", 256))
-    firsts = records.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select(F.col("digest").alias("__digest"), "first")
-    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return records.join(firsts, F.col("digest") == F.col("__digest"), "left").withColumn("refers_to", refers).drop("__digest", "first")
+def with_references(records: DataFrame, light: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
+    """records with first, the record that a revisit refers to (null for responses); light: the same records without payloads."""
+    key = F.struct(F.col("page_id").isNull().alias("no"), *FIRST)
+    shared = light.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = small(materialize(shared.select(F.col("digest").alias("of"), F.struct(*[F.col("first")[c].alias(c) for c in FIRST]).alias("first")), "shared"))
+    same_page = F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("page_id").isNotNull()
+    same_record = (F.col("first.file") == F.col("file")) & (F.col("first.offset") == F.col("offset"))
+    long_enough = F.octet_length("payload") >= least
+    joined = records.join(shared, (F.col("digest") == F.col("of")) & long_enough, "left").drop("of")
+    return joined.withColumn("first", F.when(~(same_page | same_record), F.col("first")))
 
 
-def record_id(page_id: int | None, url: str, date: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {date} {url}' if page_id is None else str(page_id))}>"
+def record_id(file: str, offset: int, url: str, date: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{file} {offset} {date} {url}')}>"
 
 
-def warc_record(page_id, url, ip, date, http, payload, digest, refers_to) -> bytes:
-    block = http if refers_to is not None else http + payload
+def warc_record(url, ip, date, http, payload, digest, file, offset, first) -> bytes:
+    block = http if first is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url, date)}",
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(file, offset, url, date)}",
         f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    if refers_to is not None:
-        # the last two fields are our own: what a reader needs without the other record
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, '', '')}", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {len(payload)}"]
+    if first is not None:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(first['file'], first['offset'], first['url'], first['date'])}"]
+        # our own: what a reader needs without the other record
+        head += [f"X-Refers-To-Page: {first['page_id']}"] * (first["page_id"] is not None) + [f"X-Payload-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """WARC files of what with_references() returns."""
-    names = ["page_id", "url", "ip", "date", "http", "payload", "digest", "refers_to"]
+    names = ["url", "ip", "date", "http", "payload", "digest", "file", "offset", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,12 +252,12 @@ def parse_warc(stream) -> Iterator[dict]:
             raise ValueError(f"{head['warc-record-id']}: the payload does not have its digest")
         yield {
             "page_id": page_of(http), "url": head["warc-target-uri"], "record_type": kind, "payload_digest": said, "payload": payload,
-            "payload_bytes": len(payload) if kind == "response" else int(head["x-payload-length"]), "refers_to": int(head["x-refers-to-page"]) if kind == "revisit" else None,
+            "payload_bytes": len(payload) if kind == "response" else int(head["x-payload-length"]), "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None, "record_id": head["warc-record-id"], "date": head["warc-date"],
         }
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    schema = "page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long"
+    schema = "page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long, record_id string, date string"
     if with_payload:
         return read_archives(spark, path, parse_warc, schema)
     light = lambda stream: ({**r, "payload": None} for r in parse_warc(stream))
@@ -205,8 +265,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """Every ARC record as a WARC record."""
-    write_warc(with_references(read_arc(spark, arc_path)), warc_path)
+    """Every ARC record that can be read as a WARC record."""
+    write_warc(with_references(read_arc(spark, arc_path), read_arc(spark, arc_path, with_payload=False)), warc_path)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
