@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 
 from ..functions.geo import nano_polygon
 from ..operators.edges import split_at_junctions
-from ..operators.ways import inside_polygon, resolve_refs, walkable
+from ..operators.ways import located_inside, walkable
 
 
 def walkable_edges(refs: DataFrame, tags: DataFrame, nodes: DataFrame, polygon: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """Tags first, then geometry; references are counted over the ways that survive both."""
     ways = refs.join(walkable(tags), "way_id", "left_semi")
-    inside = ways.join(inside_polygon(ways, nodes, polygon or nano_polygon()), "way_id", "left_semi")
-    return split_at_junctions(resolve_refs(inside, nodes))
+    return split_at_junctions(located_inside(ways, nodes, polygon or nano_polygon()))

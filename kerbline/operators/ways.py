@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_polygon
+from ..sources.shared import materialize
 
 # fixed values: tag keys and values of the walkable rule
 WAY_KEYS = ("footway", "highway")
 ROAD_VALUES = ("trunk", "motorway", "secondary", "road", "primary", "tertiary", "unclassified")
 
 
+#: Counted rows up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Edges of a polygon for each of the bands of latitude that it is cut into, and most bands.
+BAND_EDGES, MOST_BANDS = 4, 4096
+
+
+def union(tables: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """keys with a broadcast hint if its counted rows are few; else as it is."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def way_refs(ways: DataFrame) -> DataFrame:
     """Long form of ways(way_id, refs)."""
     return ways.select("way_id", F.posexplode("refs").alias("pos", "node_id"))
@@ -79,17 +96,48 @@ def resolved_ways(vertices: DataFrame) -> DataFrame:
 
 def inside_polygon(refs: DataFrame, nodes: DataFrame, polygon: Sequence[tuple[int, int]]) -> DataFrame:
     """way_id of ways of which every node exists and lies inside."""
-    flagged = nodes.select(F.col("id").alias("node_id"), in_polygon(F.col("lat"), F.col("lon"), polygon).alias("inside"))
-    return refs.join(flagged, "node_id", "left").groupBy("way_id").agg(F.bool_and(F.coalesce("inside", F.lit(False))).alias("all")).where("all").select("way_id")
+    located = refs.join(in_area(nodes, polygon).withColumnRenamed("id", "node_id"), "node_id", "left")
+    return located.groupBy("way_id").agg(F.bool_and(F.col("lat").isNotNull()).alias("all")).where("all").select("way_id")
+
+
+def in_area(nodes: DataFrame, polygon: Sequence[tuple[int, int]]) -> DataFrame:
+    """nodes(id, lat, lon) inside the polygon; its box reaches their scan."""
+    lats, lons = [a for a, _ in polygon], [o for _, o in polygon]
+    boxed = nodes.where(F.col("lat").between(min(lats), max(lats)) & F.col("lon").between(min(lons), max(lons)))
+    return boxed.where(in_polygon(F.col("lat"), F.col("lon"), polygon)).select("id", "lat", "lon")
+
+
+def located_inside(refs: DataFrame, nodes: DataFrame, polygon: Sequence[tuple[int, int]]) -> DataFrame:
+    """way_id, pos, node_id, lat, lon of ways of which every node exists and lies inside: one join with the nodes, one grouping by way."""
+    located = refs.join(in_area(nodes, polygon).withColumnRenamed("id", "node_id"), "node_id", "left").select("way_id", "pos", "node_id", "lat", "lon")
+    whole = W.partitionBy("way_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return located.withColumn("whole", F.bool_and(F.col("lat").isNotNull()).over(whole)).where("whole").drop("whole")
 
 
 def inside_polygons(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, polygon_id) for many polygons given by edges(polygon_id, a_lat, a_lon, b_lat, b_lon)."""
-    boxes = edges.groupBy("polygon_id").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lon").alias("w"), F.max("a_lon").alias("e"))
-    near = nodes.join(boxes, F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).select("id", "lat", "lon", "polygon_id")
+    """(id, polygon_id) for many polygons given by edges(polygon_id, a_lat, a_lon, b_lat, b_lon).
+
+    A polygon lies in a grid whose cells are as large as its box (the next power of two), so in four cells at most; a node asks
+    one cell of each grid that is in use (64 at most). The polygon's edges lie in bands of latitude, and a node meets those of
+    its band only. All joins are on equal keys.
+    """
+    boxes = edges.groupBy("polygon_id").agg(F.min(F.least("a_lat", "b_lat")).alias("s"), F.max(F.greatest("a_lat", "b_lat")).alias("n"), F.min(F.least("a_lon", "b_lon")).alias("w"), F.max(F.greatest("a_lon", "b_lon")).alias("e"), F.count("*").alias("k"))
+    level = F.ceil(F.log2(F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w"), F.lit(1)).cast("double") + 1)).cast("int")
+    bands = F.least(F.greatest(F.expr(f"k div {BAND_EDGES}"), F.lit(1)), F.lit(MOST_BANDS))
+    boxes = boxes.withColumn("level", level).withColumn("tall", F.expr("(n - s)") / bands + 1).withColumn("tall", F.ceil("tall").cast("long"))
+    boxes = materialize(boxes, "boxes")
+    down = lambda c: F.call_function("shiftright", F.col(c), F.col("level"))
+    cells = boxes.withColumn("row", F.explode(F.sequence(down("s"), down("n")))).withColumn("col", F.explode(F.sequence(down("w"), down("e"))))
+    levels = [r["level"] for r in boxes.select("level").distinct().collect()]  # at most 64
+    asked = nodes.select("id", "lat", "lon", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("level")).withColumn("row", down("lat")).withColumn("col", down("lon"))
+    near = asked.join(cells.select("polygon_id", "level", "row", "col", "s", "n", "w", "e", "tall"), ["level", "row", "col"])
+    near = near.where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
+    near = near.select("id", "lat", "lon", "polygon_id", F.expr("(lat - s) div tall").alias("band"))
+    cut = edges.join(boxes.select("polygon_id", "s", "tall"), "polygon_id")
+    cut = cut.withColumn("band", F.explode(F.expr("sequence((least(a_lat, b_lat) - s) div tall, (greatest(a_lat, b_lat) - s) div tall)"))).drop("s", "tall")
     at = F.call_function("div", (F.col("lat") - F.col("a_lat")) * (F.col("b_lon") - F.col("a_lon")), F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0))) + F.col("a_lon")
     crosses = ((F.col("lat") < F.col("a_lat")) != (F.col("lat") < F.col("b_lat"))) & (F.col("lon") < at)
-    return near.join(edges, "polygon_id").groupBy("id", "polygon_id").agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("n")).where("n % 2 = 1").select("id", "polygon_id")
+    return near.join(cut, ["polygon_id", "band"]).groupBy("id", "polygon_id").agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("n")).where("n % 2 = 1").select("id", "polygon_id")
 
 
 def summary(nodes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, polyline
 from ..operators import edges, ways
+from ..sources import io
 from ..sources.fixtures import ctes, load
+from ..sources.shared import shared_path
 from .sqltext import DENSE_EDGES, POLYGON, WALKABLE, inside, split
 
 QUERIES, ORACLES = {}, {}
@@ -53,12 +57,19 @@ def in_polygon(spark, sf):
     return load(spark, sf, "all_nodes").select("id", geo.in_polygon(F.col("lat"), F.col("lon"), geo.nano_polygon()).alias("inside"))
 
 
-@query("P1_in_polygons", f"{ctes('all_nodes')}, {POLYGON}, {inside('all_nodes')} SELECT id, 1 AS polygon_id FROM inside WHERE inside")
+#: Triangles around the segments' first ends, some of them large: as many polygons as parts.
+TRIANGLES = """tri AS (SELECT edge_id AS polygon_id, a_lat AS y, a_lon AS x, CASE WHEN edge_id % 50 = 0 THEN 9000000 ELSE 300000 END AS r FROM segments),
+corners AS (SELECT polygon_id, y - r AS a_lat, x - r AS a_lon, y - r // 3 AS b_lat, x + r AS b_lon FROM tri UNION ALL SELECT polygon_id, y - r // 3, x + r, y + r, x - r // 5 FROM tri UNION ALL SELECT polygon_id, y + r, x - r // 5, y - r, x - r FROM tri)"""
+
+
+@query("P1_in_polygons", f"""{ctes('all_nodes', 'segments')}, {TRIANGLES}, box AS (SELECT *, y - r AS s, y + r AS n FROM tri),
+    near AS (SELECT id, lat, lon, polygon_id FROM all_nodes JOIN box ON lat >= s AND lat <= n WHERE lon BETWEEN x - r AND x + r)
+    SELECT id, polygon_id FROM near JOIN corners USING (polygon_id) GROUP BY id, polygon_id
+    HAVING sum(CASE WHEN ((lat < a_lat) <> (lat < b_lat)) AND lon < (lat - a_lat) * (b_lon - a_lon) // nullif(b_lat - a_lat, 0) + a_lon THEN 1 ELSE 0 END) % 2 = 1""")
 def in_polygons(spark, sf):
-    corners = geo.nano_polygon()
-    rows = ", ".join(f"(1, {a[0]}L, {a[1]}L, {b[0]}L, {b[1]}L)" for a, b in zip(corners, [*corners[1:], corners[0]], strict=True))
-    polygon = spark.sql(f"SELECT * FROM VALUES {rows} AS t(polygon_id, a_lat, a_lon, b_lat, b_lon)")
-    return ways.inside_polygons(load(spark, sf, "all_nodes"), polygon)
+    segments = load(spark, sf, "segments")
+    corners = spark.sql("WITH " + re.sub(r"(\w+) // (\d)", r"(\1 div \2)", TRIANGLES).replace("FROM segments", "FROM {segments}") + " SELECT * FROM corners", segments=segments)
+    return ways.inside_polygons(load(spark, sf, "all_nodes"), corners)
 
 
 @query("P2_walkable", f"{ctes('way_tags')}, {WALKABLE} SELECT way_id FROM walkable")
@@ -195,3 +206,18 @@ def extract(spark, sf):
 
     cut = walkable_edges(load(spark, sf, "dense_refs"), load(spark, sf, "way_tags"), load(spark, sf, "dense_nodes"))
     return cut.select("way_id", "seq", "u", "v", F.round("distance", 3).alias("distance"))
+
+
+@query("S5_ways_files", f"{ctes('way_refs', 'nodes')} SELECT way_id, count(*) AS n, sum(coalesce(lat, 0)) AS lat, sum(coalesce(lon, 0)) AS lon FROM way_refs r LEFT JOIN nodes n ON r.node_id = n.id GROUP BY way_id")
+def ways_files(spark, sf):
+    """Resolved ways written as JSON lines and read again."""
+    io.write_ways(ways.resolved_ways(ways.resolve_refs(load(spark, sf, "way_refs"), load(spark, sf, "nodes"))), path := shared_path(spark, "ways"))
+    read = io.read_ways(spark, path, lines=True).select("way_id", F.explode("refs").alias("p"))
+    return read.groupBy("way_id").agg(F.count("*").alias("n"), F.sum("p.lat").cast("decimal(38,0)").alias("lat"), F.sum("p.lon").cast("decimal(38,0)").alias("lon"))
+
+
+@query("S7_segment_files", f"{ctes('vertices')}, {split('vertices')} SELECT way_id, CAST(seq AS INT) AS seq, arg_min(a, pos) AS u, arg_max(b, pos) AS v, round(sum(d), 3) AS distance FROM legs GROUP BY way_id, seq")
+def segment_files(spark, sf):
+    """Edges written by way as JSON lines and read again."""
+    io.write_segments(edges.way_segments(edges.split_at_junctions(load(spark, sf, "vertices"))), path := shared_path(spark, "segments"))
+    return io.read_edges(spark, path, lines=True).select("way_id", F.col("seq").cast("int").alias("seq"), "u", "v", F.round("distance", 3).alias("distance"))

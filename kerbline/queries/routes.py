@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, polyline
-from ..jobs import directions
+from ..jobs import best_route, directions
+from ..jobs import walkways as walkway_job
 from ..operators import edges, routing, scoring, snap, stairs, walkways
 from ..sources.fixtures import ctes, load
 from .sqltext import DENSE_EDGES, POLYGON_DEGREES, hav, hav_asin
@@ -86,50 +86,43 @@ def new_ids(spark, sf):
     return snap.new_ids(load(spark, sf, "dense_nodes"), load(spark, sf, "points")).select("req_id", "node_id")
 
 
-DENSE_REQUESTS = "reqs AS (SELECT CAST(n_nationkey AS BIGINT) AS req_id, (SELECT min(id) FROM dense_nodes) + n_nationkey AS src, (SELECT max(id) FROM dense_nodes) - n_nationkey * 3 AS dst FROM nation)"
+def search(weights: str, requests: str = "requests") -> str:
+    """Costs no way beyond that along the request's own way."""
+    return f"""{ctes('dense_vertices', 'stairs', requests)}, {DENSE_EDGES}, {near(0.001)},
+    weighed AS (SELECT e.*, {weights} AS w FROM dense_edges e LEFT JOIN touching t USING (edge_id)),
+    arcs AS (SELECT u AS src, v AS dst, w FROM weighed UNION ALL SELECT v, u, w FROM weighed),
+    reqs AS (SELECT req_id, src, dst, coalesce((SELECT sum(w) FROM weighed e WHERE e.way_id = r.req_id AND e.seq < 2), 0) + 0.001 AS most FROM {requests} r),
+    reach(req_id, node, cost, most) USING KEY (req_id, node) AS (SELECT req_id, src, 0.0::DOUBLE, most::DOUBLE FROM reqs UNION
+        SELECT f.req_id, a.dst, min(f.cost + a.w), min(f.most) FROM reach f JOIN arcs a ON a.src = f.node LEFT JOIN recurring.reach r ON r.req_id = f.req_id AND r.node = a.dst
+        WHERE f.cost + a.w <= f.most AND (r.cost IS NULL OR f.cost + a.w < r.cost) GROUP BY f.req_id, a.dst)
+    SELECT q.req_id, round(cost, 3) AS cost FROM reqs q JOIN reach r ON r.req_id = q.req_id AND r.node = q.dst"""
 
 
-def dense_requests(spark, sf):
-    ends = load(spark, sf, "dense_nodes").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))  # one row
-    return load(spark, sf, "nation").crossJoin(ends).select(F.col("n_nationkey").cast("long").alias("req_id"), (F.col("lo") + F.col("n_nationkey")).alias("src"), (F.col("hi") - F.col("n_nationkey") * 3).alias("dst"))
+def placed_arcs(spark, sf, penalised: bool):
+    """Arcs of the dense graph with the place of their end."""
+    graph = stairs.with_penalty(dense_edges(spark, sf), load(spark, sf, "stairs")) if penalised else dense_edges(spark, sf).withColumn("penalty", F.lit(0.0))
+    return directions.both_arcs(graph, F.col("distance") + F.col("penalty"))
 
 
-def search(weights: str) -> str:
-    return f"""{ctes('dense_vertices', 'stairs', 'nation')}, {DENSE_EDGES}, {near(0.001)}, {DENSE_REQUESTS},
-    arcs AS (SELECT u AS src, v AS dst, {weights} AS w FROM dense_edges e LEFT JOIN touching t USING (edge_id) UNION ALL SELECT v, u, {weights} FROM dense_edges e LEFT JOIN touching t USING (edge_id)),
-    reach(req_id, node, cost) USING KEY (req_id, node) AS (SELECT req_id, src, 0.0::DOUBLE FROM reqs UNION
-        SELECT f.req_id, a.dst, min(f.cost + a.w) FROM reach f JOIN arcs a ON a.src = f.node LEFT JOIN recurring.reach r ON r.req_id = f.req_id AND r.node = a.dst
-        WHERE r.cost IS NULL OR f.cost + a.w < r.cost GROUP BY f.req_id, a.dst)
-    SELECT q.req_id, round(cost, 3) AS cost FROM reqs q JOIN reach r ON r.req_id = q.req_id AND r.node = q.dst"""
+def placed_requests(spark, sf, name: str = "requests"):
+    goals = load(spark, sf, "dense_nodes").select(F.col("id").alias("dst"), (F.col("lat") / 1e9).alias("goal_lat"), (F.col("lon") / 1e9).alias("goal_lon"))
+    return load(spark, sf, name).join(goals, "dst")
 
 
 @query("G2_step_free_paths", search("d + CASE WHEN t.edge_id IS NULL THEN 0.0 ELSE 1e6 END"))
 def step_free_paths(spark, sf):
-    graph = stairs.with_penalty(dense_edges(spark, sf), load(spark, sf, "stairs"))
-    arcs = edges.arcs(graph.withColumn("distance", F.col("distance") + F.col("penalty")))
-    return routing.shortest_paths(dense_requests(spark, sf), arcs).select("req_id", F.round("cost", 3).alias("cost"))
+    return routing.shortest_paths(placed_requests(spark, sf), placed_arcs(spark, sf, True)).select("req_id", F.round("cost", 3).alias("cost"))
 
 
 @query("G2_shortest_paths", search("d"))
 def shortest_paths(spark, sf):
-    return routing.shortest_paths(dense_requests(spark, sf), edges.arcs(dense_edges(spark, sf))).select("req_id", F.round("cost", 3).alias("cost"))
-
-
-def small_arcs(spark, sf):
-    e = load(spark, sf, "small_edges")
-    return e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "edge_id", F.col("w").alias("weight")).unionByName(e.select(F.col("v").alias("src"), F.col("u").alias("dst"), "edge_id", F.col("w").alias("weight")))
-
+    return routing.shortest_paths(placed_requests(spark, sf), placed_arcs(spark, sf, False)).select("req_id", F.round("cost", 3).alias("cost"))
 
-# every edge costs 1 or more and the third best path of any pair costs less than 8, so paths of 8 edges or more cannot be among them
-SIMPLE_PATHS = f"""{ctes('small_edges', 'small_requests')}, arcs AS (SELECT u AS src, v AS dst, w FROM small_edges UNION ALL SELECT v, u, w FROM small_edges),
-    walk(req_id, dst, nodes, cost) AS (SELECT req_id, dst, [src], 0.0::DOUBLE FROM small_requests UNION ALL
-        SELECT w.req_id, w.dst, list_append(nodes, a.dst), cost + a.w FROM walk w JOIN arcs a ON a.src = nodes[-1] WHERE nodes[-1] <> w.dst AND NOT list_contains(nodes, a.dst) AND len(nodes) < 8),
-    ranked AS (SELECT req_id, cost, nodes, row_number() OVER (PARTITION BY req_id ORDER BY cost) AS rank FROM walk WHERE nodes[-1] = dst)"""
 
-
-@query("K1_k_shortest", f"{SIMPLE_PATHS} SELECT req_id, CAST(rank AS INT) AS rank, round(cost, 6) AS cost FROM ranked WHERE rank <= 3")
+@query("K1_k_shortest")
 def k_shortest(spark, sf):
-    return routing.k_shortest_paths(load(spark, sf, "small_requests"), small_arcs(spark, sf), 3).select("req_id", "rank", F.round("cost", 6).alias("cost"))
+    found = routing.k_shortest_paths(placed_requests(spark, sf), placed_arcs(spark, sf, False), 5)
+    return found.select("req_id", "rank", F.round("cost", 3).alias("cost"), F.size("edge_ids").alias("n_edges"))
 
 
 @query("U3_distinct_candidates", f"{ctes('dense_refs')} SELECT DISTINCT way_id AS req_id, node_id % 3 AS a, node_id % 5 AS b FROM dense_refs")
@@ -232,10 +225,11 @@ def reverse(spark, sf):
     return rows.select("way_id", F.array_join(F.reverse(F.transform("s", lambda x: x["node_id"])), ",").alias("line"))
 
 
-TEXTS = "CASE WHEN c_custkey % 10 = 0 THEN 'north' WHEN c_custkey % 10 = 1 THEN '40.9' ELSE '40.' || (900 + c_custkey % 90) || ', -73.' || (100 + c_custkey % 30) END"
+BAD_TEXTS = ("north", "40.9", "nan,1", "1e30,5", "95,10", "Infinity,3", "12,180.5", "1,2,3", ",", "4,-inf")
+TEXTS = f"CASE WHEN c_custkey % 20 < 10 THEN element_at(array({', '.join(repr(t) for t in BAD_TEXTS)}), CAST(c_custkey % 20 + 1 AS INT)) ELSE '40.' || (900 + c_custkey % 90) || ', -73.' || (100 + c_custkey % 30) END"
 
 
-@query("M9_parse_point", f"SELECT c_custkey AS req_id, CASE WHEN c_custkey % 10 < 2 THEN 400 ELSE 200 END AS status, CASE WHEN c_custkey % 10 >= 2 THEN CAST('40.' || (900 + c_custkey % 90) AS DOUBLE) END AS lat, CASE WHEN c_custkey % 10 >= 2 THEN CAST('-73.' || (100 + c_custkey % 30) AS DOUBLE) END AS lon FROM customer")
+@query("M9_parse_point", "SELECT c_custkey AS req_id, CASE WHEN c_custkey % 20 < 10 THEN 400 ELSE 200 END AS status, CASE WHEN c_custkey % 20 >= 10 THEN CAST('40.' || (900 + c_custkey % 90) AS DOUBLE) END AS lat, CASE WHEN c_custkey % 20 >= 10 THEN CAST('-73.' || (100 + c_custkey % 30) AS DOUBLE) END AS lon FROM customer")
 def parse_point(spark, sf):
     rows = load(spark, sf, "customer").selectExpr("c_custkey AS req_id", f"{TEXTS} AS text")
     lat, lon = directions.parse_point(F.col("text"))
@@ -334,16 +328,31 @@ def best_candidate(spark, sf):
 
 @query("W5_first_minimum", f"{ctes('candidates')} SELECT req_id, min(cost) AS cost FROM candidates GROUP BY req_id")
 def first_minimum(spark, sf):
-    w = W.partitionBy("req_id").orderBy("cost", "cand_id")
-    return load(spark, sf, "candidates").withColumn("n", F.row_number().over(w)).where("n = 1").select("req_id", "cost")
+    return scoring.best(load(spark, sf, "candidates").withColumnRenamed("cost", "prediction")).select("req_id", F.col("prediction").alias("cost"))
 
 
-@query("G5_directions")
-def batch_directions(spark, sf):
-    ends = dense_requests(spark, sf)
-    nodes = load(spark, sf, "dense_nodes")
+def text_requests(spark, sf):
+    """Points some metres from the ends of the requests of suppliers, as text."""
     text = F.concat_ws(",", F.col("lat") / 1e9 + 0.0001, F.col("lon") / 1e9)
+    nodes = load(spark, sf, "dense_nodes")
     a, b = nodes.select(F.col("id").alias("src"), text.alias("start")), nodes.select(F.col("id").alias("dst"), text.alias("end"))
-    requests = ends.join(a, "src", "left").join(b, "dst", "left").select("req_id", "start", "end")
-    out = directions.directions(requests, dense_edges(spark, sf), load(spark, sf, "stairs"))
+    return load(spark, sf, "requests").join(a, "src", "left").join(b, "dst", "left").select("req_id", "start", "end")
+
+
+@query("G5_directions")
+def batch_directions(spark, sf):
+    out = directions.directions(text_requests(spark, sf), dense_edges(spark, sf), load(spark, sf, "stairs"))
     return out.select("req_id", "status", "error", F.round("cost", 3).alias("cost"), F.round("length_m", 3).alias("length_m"), "body")
+
+
+@query("WC_best_routes")
+def best_routes(spark, sf):
+    """Requests to their best of three alternatives, by a model that candidates trained."""
+    found = best_route.best_routes(text_requests(spark, sf), dense_edges(spark, sf), load(spark, sf, "stairs"), load(spark, sf, "elevations"), model(spark, sf), 3)
+    return found.select("req_id", "cand_id", F.round("distance", 3).alias("distance"), "stairs", F.round("prediction", 3).alias("prediction"), "encoded_polyline")
+
+
+@query("WD_walkway_graph")
+def walkway_graph(spark, sf):
+    nodes, links = walkway_job.walkway_graph(lines(spark, sf), digits=7)
+    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(links.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 1).alias("metres")))  # one row each

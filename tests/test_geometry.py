@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, polyline
-from kerbline.operators import snap, stairs, walkways
+from kerbline.operators import snap, stairs, walkways, ways
 
 
 def metres(a, b):
@@ -80,12 +80,13 @@ def test_snap_matches_brute_force_at_any_first_radius(spark):
         a = nano()
         b = nano() if i % 10 == 0 else (a[0] + rng.randrange(-900000, 900000), a[1] + rng.randrange(-900000, 900000))
         segs.append((i, 0, *a, *(a if i == 5 else b)))
-    points = [(i, rng.uniform(40.88, 40.93), rng.uniform(-73.15, -73.10)) for i in range(40)] + [(99, 41.5, -70.0)]
-    p, s = spark.createDataFrame(points, "req_id long, lat double, lon double"), spark.createDataFrame(segs, "edge_id long, seg int, a_lat long, a_lon long, b_lat long, b_lon long")
+    points = [(i, rng.uniform(40.88, 40.93), rng.uniform(-73.15, -73.10)) for i in range(40)] + [(99, 41.5, -70.0), (98, 89.9, 10.0)]
+    nowhere = [(200, float("nan"), 1.0), (201, 1e30, 5.0), (202, 95.0, 10.0), (203, None, 1.0), (204, float("inf"), 1.0)]
+    p, s = spark.createDataFrame([*points, *nowhere], "req_id long, lat double, lon double"), spark.createDataFrame(segs, "edge_id long, seg int, a_lat long, a_lon long, b_lat long, b_lon long")
     want = {}
     for i, lat, lon in points:
         want[i] = min((metres((lat, lon), foot((lat, lon), (x[2] / 1e9, x[3] / 1e9), (x[4] / 1e9, x[5] / 1e9))[0]), x[0]) for x in segs)
-    for first in (30.0, 2000.0):
+    for first in (None, 2000.0):
         got = {r.req_id: (r.distance, r.edge_id) for r in snap.nearest(p, s, first).collect()}
         assert {i: e for i, (_, e) in got.items()} == {i: e for i, (_, e) in want.items()}
         assert all(got[i][0] == pytest.approx(want[i][0], abs=1e-6) for i in want)
@@ -133,3 +134,27 @@ def test_new_ids_follow_the_requests_in_ranges(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r.req_id, r.node_id) for r in got) == [(i, 51 + i) for i in range(1000)]
     assert parts[0] > 1  # no task numbers them all
+
+
+def test_many_polygons_match_the_single_one(spark):
+    rng = random.Random(6)
+    polygons = {}
+    for k in range(150):
+        y, x, r = rng.randrange(-10**7, 10**7), rng.randrange(-10**7, 10**7), rng.choice([50, 10**4, 10**6, 3 * 10**7])
+        polygons[k] = [(int(y + r * rng.uniform(0.3, 1) * math.sin(a)), int(x + r * rng.uniform(0.3, 1) * math.cos(a))) for a in (2 * math.pi * i / 11 for i in range(11))]
+    sides = [(k, *a, *b) for k, p in polygons.items() for a, b in zip(p, [*p[1:], p[0]], strict=True)]
+    nodes = spark.createDataFrame([(i, rng.randrange(-10**7, 10**7), rng.randrange(-10**7, 10**7)) for i in range(400)], "id long, lat long, lon long")
+    found = ways.inside_polygons(nodes, spark.createDataFrame(sides, "polygon_id long, a_lat long, a_lon long, b_lat long, b_lon long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    def crosses(lat, lon, p):
+        n = 0
+        for (a, o), (b, q) in zip(p, [*p[1:], p[0]], strict=True):
+            if (lat < a) != (lat < b):
+                x = (lat - a) * (q - o)
+                n += lon < abs(x) // abs(b - a) * (1 if (x < 0) == (b - a < 0) else -1) + o
+        return n % 2
+
+    want = {(r.id, k) for r in nodes.collect() for k, p in polygons.items() if crosses(r.lat, r.lon, p)}
+    assert {(r.id, r.polygon_id) for r in found.collect()} == want and len(want) > 400
