@@ -26,11 +26,12 @@ TABLES = {
         FROM (SELECT DISTINCT node_id AS id FROM {dense_refs}) t""",
     "vertices": "SELECT way_id, pos, node_id, lat, lon FROM {way_refs} r JOIN {all_nodes} n ON r.node_id = n.id",
     "dense_vertices": "SELECT way_id, pos, node_id, lat, lon FROM {dense_refs} r JOIN {dense_nodes} n ON r.node_id = n.id",
-    "way_tags": """SELECT o_orderkey AS way_id, 'highway' AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'footway' WHEN '2-HIGH' THEN 'steps'
+    "way_tags": """SELECT o_orderkey AS way_id, 'highway' AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'footway' WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'P' THEN 'steps' ELSE 'path' END
         WHEN '3-MEDIUM' THEN 'primary' WHEN '4-NOT SPECIFIED' THEN 'path' ELSE 'motorway' END AS v FROM {orders}
         UNION ALL SELECT o_orderkey, 'surface', CASE o_orderstatus WHEN 'F' THEN 'ground' ELSE 'asphalt' END FROM {orders}""",
+    # every way that is tagged as steps
     "stairs": """SELECT r.node_id AS id, n.lat, n.lon FROM {dense_refs} r JOIN {dense_nodes} n ON r.node_id = n.id
-        JOIN {orders} o ON o.o_orderkey = r.way_id WHERE o.o_orderpriority = '2-HIGH'""",
+        JOIN {orders} o ON o.o_orderkey = r.way_id WHERE o.o_orderpriority = '2-HIGH' AND o.o_orderstatus = 'P'""",
     "segments": """SELECT p_partkey AS edge_id, 40893000000 + ((p_partkey * 7919) % 33000) * 1000 AS a_lat,
         -73139000000 + ((p_partkey * 104729) % 31500) * 1000 AS a_lon,
         40893000000 + ((p_partkey * 7919) % 33000) * 1000 + (p_size - 25) * 20000 AS b_lat,
