@@ -83,6 +83,13 @@ def texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterato
         yield from column.slice(at, step).to_pylist()
 
 
+def set_apart(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """df with columns named like one of names renamed, and the columns that give them back under their own names."""
+    taken = {n.lower() for n in names}
+    away = {c: f"{c} of the input" for c in df.columns if c.lower() in taken}
+    return df.withColumnsRenamed(away), [F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id has the crc of the empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n

@@ -6,7 +6,7 @@ benchmark window. Blocks have a fixed size; a benchmark beyond it runs as furthe
 
 Defined results: a null or wordless text has no words and no hits. Null or wordless items match nothing. Items that
 share an id count once; a null item id reads as the empty string. Repeated documents are judged alike. Input columns
-named like an output column are replaced.
+named like an output column of find_spans() are replaced there; decontaminate() returns them as they were.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, table, texts
+from .common import map_rows, set_apart, table, texts
 
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 1_000_000
@@ -225,13 +225,14 @@ def with_verdict(found: DataFrame, percent: int = 5) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, max_span: int = 12) -> DataFrame:
     """Drops documents whose hits reach percent of their words; cuts hit spans of more than max_span words from the others and sets their n_chars.
 
-    Returns the columns of docs. A column named like one of FIELDS reads as null.
+    Returns the columns of docs, also those named like one of FIELDS.
     """
+    docs, own = set_apart(docs, [f.name for f in FIELDS] + ["contaminated"])
     kept = with_verdict(find_spans(docs, items, window, max_span=max_span), percent).where(~F.col("contaminated"))
     if "n_chars" in docs.columns:
         cut = F.exists("hit_spans", lambda s: s["last"] - s["first"] + 1 > max_span)
         kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*own)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

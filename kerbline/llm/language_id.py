@@ -6,7 +6,7 @@ text, of unit length. The machines learn in numpy on the driver from a bounded s
 PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent languages, chosen by a hash of the document.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Without any labelled row all are `und`.
-Repeated rows get the same answer. Input columns named lang_pred or score are replaced.
+Repeated rows get the same answer. Input columns named lang_pred or score are replaced; keep_identified() returns them as they were.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_rows, table, texts
+from .common import crc_mod, map_rows, set_apart, table, texts
 
 #: The bound of the training sample: documents of a language (on average; twice as many at most), and languages.
 PER_LANGUAGE, MAX_LANGUAGES = 300, 64
@@ -156,13 +156,14 @@ def identified(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without null and letterless texts, which have no language. Without a labelled row no language can be learnt, and the same rows stay."""
     model = fit(docs.where(~held_out()))
+    docs, own = set_apart(docs, ["lang_pred", "score", "has_letters"])
     if model is not None:
-        return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+        return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*own)
 
     def make():
         return lambda batch: [[bool(t and LETTER.search(t.decode())) for t in texts(batch)]]
 
-    return map_rows(docs, make, [T.StructField("__letters", T.BooleanType())]).where("__letters").select(*docs.columns)
+    return map_rows(docs, make, [T.StructField("has_letters", T.BooleanType())]).where("has_letters").select(*own)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

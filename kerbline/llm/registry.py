@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_score": gru_lm.op9_lm_score,
     "op10_near_dup": near_dup.op10_near_dup,
+    "mixing_sizes": mixing.op4_sizes,
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "mixing_sizes": mixing.OP4_SIZES_SQL,
 }

@@ -75,7 +75,7 @@ def test_decontamination_drops_and_cuts(spark):
     docs = docs_of(spark, [(1, f"{long}. {item.upper().replace('É', 'é')}! end"), (2, f"{short} {item}"), (3, long), (4, None)]).withColumn("n_words", F.lit("clash"))
     out = {r.doc_id: r for r in decontamination.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert sorted(out) == [1, 3, 4]
-    assert out[1].text == f"{long}. end" and out[1].n_chars == len(out[1].text) and out[3].text == long and out[4].text is None
+    assert out[1].text == f"{long}. end" and out[1].n_chars == len(out[1].text) and out[3].text == long and out[4].text is None and out[3].n_words == "clash"
 
 
 # ---- 2 quality rules
@@ -179,6 +179,26 @@ def test_mixing_totals_and_reruns(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_settles_heavy_units_first(spark):
+    rng = random.Random(12)
+    rows = [(i, s, n) for s, k in (("a", 400), ("b", 60), ("c", 900)) for i, n in enumerate([20_000] + [rng.randrange(1, 200) for _ in range(k)])]
+    out = mixing.choices(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in out:
+        size[r.source] += r["size"]
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 3
+    total, open_, weights = sum(size.values()), dict(size), {"a": 1, "b": 2, "c": 3}
+    want, left = {}, total
+    while full := [s for s in open_ if weights[s] * left / sum(weights[x] for x in open_) > 3 * size[s]]:
+        for s in full:
+            want[s] = 3 * open_.pop(s)
+        left = total - sum(want.values())
+    want |= {s: weights[s] * left / sum(weights[x] for x in open_) for s in open_}
+    assert target == pytest.approx(want) and all(abs(taken[s] - want[s]) < 0.01 * want[s] for s in want)
+
+
 # ---- 5 sharding
 
 
@@ -283,7 +303,7 @@ def test_language_held_out_accuracy(spark):
     assert sum(out[i].lang_pred == lang for i, _, lang, _ in rows[:400]) >= 392
     assert out[900].lang_pred == out[901].lang_pred == "und" and out[901].score == 0 and all(0 <= r.score <= 1 for r in out.values())
     kept = language_id.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == 402
+    assert kept.columns == docs.columns and kept.count() == 402 and kept.where("score = 'clash'").count() == 402
     assert {r.lang_pred for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identified(docs.limit(0)).count() == 0
 
