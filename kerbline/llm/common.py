@@ -64,7 +64,9 @@ def map_rows(
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     at = [df.columns.index(f.name) for f in kept]
-    out = T.StructType([*kept, *fields])
+    # Spark looks columns up by name on the way to Python, where a dot would mean a field
+    plain = [f"column {i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)]
+    out = T.StructType([*(T.StructField(plain[i], f.dataType, f.nullable) for i, f in zip(at, kept)), *fields])
     types = [f.type for f in to_arrow_schema(T.StructType(list(fields)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,8 @@ def map_rows(
             cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(fn(b), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), *cols], out.names)
 
-    return in_arrow(df, run, out)
+    made = in_arrow(df if plain == df.columns else df.toDF(*plain), run, out)
+    return made if plain == df.columns else made.toDF(*(f.name for f in kept), *(f.name for f in fields))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterator[bytes | None]:
