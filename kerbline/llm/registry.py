@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, gru_lm, html_extraction, language_id, merkle_manifest, mixing, near_dup, quality_rules, sharding, token_alignment, url_filter, warc
+from . import decontamination, gru_lm, html_extraction, jaccard_join, language_id, merkle_manifest, mixing, near_dup, quality_rules, sharding, token_alignment, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_score": gru_lm.op9_lm_score,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_token_alignment": token_alignment.op13_token_alignment,
     "mixing_sizes": mixing.op4_sizes,
