@@ -10,8 +10,9 @@ files, one for each task that wrote, and parsed as streams by declared lengths,
 Conversion reads the archives twice and shuffles no payload: the first time gives digests, of which only those that records
 share are kept (and broadcast, if they are few), the second time writes.
 
-A header line that cannot be read, a length that is no number or reaches beyond the file become rejected rows with a reason
-(read_rejected), and reading goes on at the next line that is a header. Blanks and bytes beyond ASCII in a URL are
+A header line that cannot be read, a length that is no number or reaches beyond the file, and a file that is cut off or no
+gzip become rejected rows with a reason (read_rejected), and reading goes on at the next line that is a header. The same
+holds for WARC records whose head, length or digest is wrong (read_warc_rejected). Blanks and bytes beyond ASCII in a URL are
 percent-encoded, dates of fewer digits are filled up with zeros, and an odd page id counts as none.
 
 Defined results: a null html is an empty payload. A null url is written as "-". A null page id never is the smallest: such
@@ -20,11 +21,12 @@ a record revisits the smallest there is. Records that share both the smallest pa
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -114,23 +116,84 @@ def header_of(line: bytes, fields: list[bytes]) -> dict[bytes, bytes] | None:
     return None
 
 
-def rejected(offset: int, reason: str, line: bytes = b"") -> dict:
+def rejected(offset: int | None, reason: str, line: bytes = b"") -> dict:
     return {"url": line[:200].decode(errors="replace"), "offset": offset, "reason": reason}
 
 
-def parse_arc(stream, size: int | None = None) -> Iterator[dict]:
+class Inflated(io.RawIOBase):
+    """The bytes of a gzip file of any number of members; where it is cut off or damaged it ends, and broken tells why."""
+
+    def __init__(self, content):
+        self.content, self.at, self.engine, self.held, self.broken = memoryview(content), 0, None, b"", None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            if self.broken or (self.engine is None and self.at == len(self.content)):
+                return 0
+            self.engine = self.engine or zlib.decompressobj(31)
+            piece = self.engine.unconsumed_tail
+            if not piece:
+                piece = self.content[self.at : self.at + (1 << 16)]
+                self.at += len(piece)
+            if not piece:
+                self.broken = "cut off"
+                return 0
+            try:
+                self.held = self.engine.decompress(piece, 1 << 20)
+            except zlib.error:
+                self.broken = "no gzip"
+                return 0
+            if self.engine.eof:
+                # the next member begins in what this one left
+                self.at -= len(self.engine.unused_data)
+                self.engine = None
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+class Cursor:
+    """A stream read forward, with the offset so far, that can take back what it has just read up to the end."""
+
+    def __init__(self, stream):
+        self.stream, self.offset = stream, 0
+
+    def readline(self) -> bytes:
+        line = self.stream.readline()
+        self.offset += len(line)
+        return line
+
+    def read(self, n: int) -> bytes:
+        block = self.stream.read(n)
+        self.offset += len(block)
+        return block
+
+    def again(self, block: bytes) -> None:
+        self.stream, self.offset = io.BytesIO(block), self.offset - len(block)
+
+
+def parse_arc(stream) -> Iterator[dict]:
     """The records after the first, which tells the version's fields; what cannot be read has a reason, once for each run of lines."""
     fields: list[bytes] = ARC_FIELDS[1].split()
-    lost = False
+    lost, at_line = False, Cursor(stream)
     while True:
-        offset = stream.tell()
-        line = stream.readline()
+        offset = at_line.offset
+        line = at_line.readline()
         if not line:
             return
         if not line.strip():
             continue
         if line.startswith(b"filedesc://") and line.split()[-1].isdigit():
-            block = stream.read(int(line.split()[-1]))
+            size = int(line.split()[-1])
+            block = at_line.read(size)
+            if len(block) < size:
+                yield rejected(offset, "shorter than declared", line)
+                at_line.again(block)
+                lost = True
+                continue
             lines, version = block.split(b"\n"), block.split(None, 1)[:1]
             named = lines[1].split() if len(lines) > 1 else []
             fields = named if {b"URL", b"IP-address", b"Archive-date", b"Content-type", b"Archive-length"} <= set(named) and named[-1] == b"Archive-length" else ARC_FIELDS.get(int(version[0]) if version and version[0].isdigit() else 1, ARC_FIELDS[1]).split()
@@ -141,12 +204,15 @@ def parse_arc(stream, size: int | None = None) -> Iterator[dict]:
                 yield rejected(offset, "no header line", line)
             lost = True
             continue
-        lost = False
         length = int(at[b"Archive-length"])
-        block = stream.read(length)
+        block = at_line.read(length)
         if len(block) < length:
+            # the length is wrong, or the file is: what follows the line may hold more records
             yield rejected(offset, "shorter than declared", line)
-            return
+            at_line.again(block)
+            lost = True
+            continue
+        lost = False
         http, payload = split_http(block)
         yield {
             "page_id": page_of(http), "url": quote(at[b"URL"], safe=URL_SAFE), "ip": at[b"IP-address"].decode(errors="replace"), "date": at[b"Archive-date"].decode().ljust(14, "0"),
@@ -154,6 +220,12 @@ def parse_arc(stream, size: int | None = None) -> Iterator[dict]:
         }
 
 
+def broken(raw: Inflated) -> Iterator[dict]:
+    """A rejected row if the file could not be read to its end."""
+    if raw.broken:
+        yield rejected(None, raw.broken)
+
+
 def read_archives(spark: SparkSession, path: str, parse, schema: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """A row for each record that parse(stream) yields of every gzip file under path, with the file's name where schema has it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
@@ -163,7 +235,8 @@ def read_archives(spark: SparkSession, path: str, parse, schema: str, batch_byte
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name = {"file": file.rpartition("/")[2]} if "file" in arrow.names else {}
                 rows, size = [], 0
-                for r in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
+                raw = Inflated(content.as_buffer())
+                for r in chain(parse(io.BufferedReader(raw, 1 << 20)), broken(raw)):
                     rows.append({**r, **name})
                     size += sum(len(v) for v in r.values() if isinstance(v, (bytes, str)))
                     if size > batch_bytes:
@@ -236,32 +309,65 @@ def write_warc(records: DataFrame, path: str) -> None:
     write_lines(records.select(*names).mapInArrow(run, "value binary"), path, "\r\n\r\n")
 
 
+def warc_head(at: Cursor) -> dict[str, str]:
+    """The named fields up to the empty line."""
+    head: dict[str, str] = {}
+    while line := at.readline().rstrip(b"\r\n"):
+        name, _, value = line.decode(errors="replace").partition(":")
+        head[name.lower()] = value.strip()
+    return head
+
+
 def parse_warc(stream) -> Iterator[dict]:
-    while line := stream.readline():
+    """Response and revisit records; what cannot be read has a reason, and reading goes on at the next line that begins a record."""
+    at, lost = Cursor(stream), False
+    while True:
+        offset = at.offset
+        line = at.readline()
+        if not line:
+            return
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record starts with {line[:80]!r}")
-        head: dict[str, str] = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode().partition(":")
-            head[name.lower()] = value.strip()
-        http, payload = split_http(stream.read(int(head["content-length"])))
+            if not lost:
+                yield rejected(offset, "no record", line)
+            lost = True
+            continue
+        head = warc_head(at)
+        lost = True
+        if not {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest"} <= set(head) or not head.get("content-length", "").isdigit():
+            yield rejected(offset, "fields missing", line)
+            continue
+        length = int(head["content-length"])
+        block = at.read(length)
+        if len(block) < length:
+            yield rejected(offset, "shorter than declared", line)
+            at.again(block)
+            continue
+        lost = False
+        http, payload = split_http(block)
         kind, said = head["warc-type"], head["warc-payload-digest"].partition(":")[2]
+        number = lambda name: int(head[name]) if head.get(name, "").isdigit() else None
         if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
-            raise ValueError(f"{head['warc-record-id']}: the payload does not have its digest")
+            yield rejected(offset, "other digest", line)
+            continue
         yield {
             "page_id": page_of(http), "url": head["warc-target-uri"], "record_type": kind, "payload_digest": said, "payload": payload,
-            "payload_bytes": len(payload) if kind == "response" else int(head["x-payload-length"]), "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None, "record_id": head["warc-record-id"], "date": head["warc-date"],
+            "payload_bytes": len(payload) if kind == "response" else number("x-payload-length"), "refers_to": number("x-refers-to-page"), "record_id": head["warc-record-id"], "date": head["warc-date"],
         }
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    schema = "page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long, record_id string, date string"
-    if with_payload:
-        return read_archives(spark, path, parse_warc, schema)
-    light = lambda stream: ({**r, "payload": None} for r in parse_warc(stream))
-    return read_archives(spark, path, light, schema).drop("payload")
+    schema = "page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long, record_id string, date string, reason string"
+    parse = parse_warc if with_payload else lambda stream: ({**r, "payload": None} for r in parse_warc(stream))
+    found = read_archives(spark, path, parse, schema).where("reason is null").drop("reason")
+    return found if with_payload else found.drop("payload")
+
+
+def read_warc_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, reason and the line of what read_warc() left out."""
+    lines = lambda stream: (r for r in parse_warc(stream) if r.get("reason"))
+    return read_archives(spark, path, lines, "file string, offset long, reason string, url string").withColumnRenamed("url", "line")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
