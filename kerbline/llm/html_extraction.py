@@ -8,9 +8,11 @@ host each hash occurs. Template is, and is deleted:
   host's pages: menus, adverts and footers drawn from a few variants, so also a variant that is new;
 * an element with prose in half of the host's pages or more, outside the main elements. A paragraph that recurs less is story.
 
-What the page says of itself is a second opinion: inside article (or main) elements only elements without prose can be
-template, and elements whose role is not main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) go as well. Without a main element the blocks that remain of the body are the text.
+Templates go first, inside and outside of article (or main) elements; inside, only elements without prose can be template. What the
+page says of itself is the second opinion, for what counts do not tell (a host of few pages, a box that is new): elements whose
+role is not main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go as well,
+but a class name of several words does not make a paragraph or heading of the story go. Without a main element the blocks that remain of the
+body are the text, without the headers directly below it. taken() tells how many characters either opinion takes.
 
 Defined results: a null or empty html has the empty text. A null url, or one without ://, counts under the empty host.
 Equal pages of a host count once, and repeated rows get the same text.
@@ -63,7 +65,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 PARTS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 PHRASES = ("comment-", "comments-", "sidebar-", "site-header", "page-header", "site-footer", "main-menu", "user-comments", "reader-comments")
 MAIN = ("article", "main")
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure article main".split())
+STORY = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+PROSE = STORY | frozenset("figure article main".split())
 
 # a quote opens a value only after an equals sign; elsewhere it is a character of a name or of an unquoted value
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
@@ -161,8 +164,8 @@ def is_part(node: Node) -> bool:
         if name in ("class", "id"):
             if any(w in PARTS for w in value.split()):
                 return True
-            # names made of several words, of elements that are not named as the page's content
-            if node.tag not in MAIN and (any(p in value for p in PHRASES) or len(NAME.findall(value)) <= 3 and any(w in PARTS for w in NAME.findall(value))):
+            # names made of several words, of elements that are neither named as the page's content nor its paragraphs and headings
+            if node.tag not in MAIN and node.tag not in STORY and (any(p in value for p in PHRASES) or len(NAME.findall(value)) <= 3 and any(w in PARTS for w in NAME.findall(value))):
                 return True
     return False
 
@@ -208,8 +211,9 @@ class Page:
             if kind[x.at] == 0 and (x.up in main or kind[x.up] == 1):
                 kind[x.at] = 1
         if roles and not main:
-            for x in nodes:
-                gone[x.at] = gone[x.at] or x.tag == "header"
+            # a header within some element is that element's heading
+            for x in nodes[1:]:
+                gone[x.at] = gone[x.at] or gone[x.up] or x.tag == "header" and nodes[x.up].tag in ("html", "body", "")
 
     def find_main(self) -> list[int]:
         """The outermost article elements; main elements instead, if what they hold beside their articles is longer than these."""
@@ -226,7 +230,18 @@ class Page:
             return outer["article"]
         held = [i for i in outer["article"] if inside["main"][i]]
         articles = sum(self.shown[i] for i in held)
-        return held if articles and 2 * articles >= sum(self.shown[i] for i in outer["main"]) else outer["main"]
+        return held if articles and 2 * articles >= sum(self.shown[i] for i in outer["main"]) and not self.tells_beside(held) else outer["main"]
+
+    def tells_beside(self, held: list[int]) -> bool:
+        """Whether a main element has paragraphs of its own beside its articles."""
+        inside = [False] * len(self.nodes)
+        for x in self.nodes[1:]:
+            inside[x.at] = inside[x.up] or x.tag == "main"
+            if x.at in held:
+                inside[x.at] = False
+            elif inside[x.at] and x.tag == "p" and self.shown[x.at] and not self.gone[x.at]:
+                return True
+        return False
 
     def candidates(self) -> Iterator[tuple[int, int, int, int]]:
         """(number, kind, hash, place) of elements with text that may be template: kind 0 without prose, 1 such inside a main element, 2 with prose.
@@ -250,6 +265,19 @@ class Page:
             if may[x.at]:
                 yield x.at, 2 if self.prose[x.at] else self.kind[x.at], own[x.at], place[x.at]
 
+    def taken(self, template: frozenset[int] | set[int]) -> tuple[int, int]:
+        """Characters of text in template elements, and of the rest those in elements that go by their role."""
+        by_count = [False] * len(self.nodes)
+        for i, kind, own, place in self.candidates() if template else ():
+            by_count[i] = own in template or kind < 2 and place in template
+        totals, hidden = [0, 0], [False] * len(self.nodes)
+        for x in self.nodes[1:]:
+            by_count[x.at] |= by_count[x.up]
+            hidden[x.at] = hidden[x.up] or x.tag in HIDDEN
+            if not hidden[x.at] and (by_count[x.at] or self.gone[x.at]):
+                totals[0 if by_count[x.at] else 1] += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        return totals[0], totals[1]
+
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """The blocks of the main elements, or of the body, without elements that are template."""
         gone = self.gone
@@ -327,12 +355,15 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     return elements.union(places).distinct()
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST, roles: bool = True, remove: bool = True) -> DataFrame:
-    """pages(url, html) with text and n_chars. Without roles the page's own word is not heard, without remove no template goes (both to measure)."""
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST, roles: bool = True, remove: bool = True, tell: bool = False) -> DataFrame:
+    """pages(url, html) with text and n_chars. Without roles the page's own word is not heard, without remove no template goes (both to measure).
+
+    With tell also n_template and n_role, the characters that counts took first and those that roles took of the rest.
+    """
     kept = [c for c in pages.columns if (keep is None or c in keep) and c.lower() not in ("text", "n_chars")]
     pages = with_host(pages)
     found = materialize(templates(pages, min_pages, min_share, roles).where(F.lit(remove)), "templates")
-    fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    fields = [T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_chars", *(("n_template", "n_role") if tell else ()))]]
     rows = pages.select("host", "html", F.struct(*[F.col("row")[c].alias(c) for c in kept]).alias("row"))
     # checked: at most max_broadcast pairs
     sent = None
@@ -348,12 +379,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         def fn(batch):
             hosts = batch.column("host").to_pylist()
             sets = [sent.value.get(h, frozenset()) for h in hosts] if sent else [frozenset(t or ()) for t in batch.column("template").to_pylist()]
+            read = [(Page(p, roles) if p else None, t) for t, p in zip(sets, batch.column("html").to_pylist(), strict=True)] if tell else ()
             out = [main_text(p or "", t, roles) for t, p in zip(sets, batch.column("html").to_pylist(), strict=True)]
-            return [out, [len(t) for t in out]]
+            more = [[page.taken(t)[i] if page else 0 for page, t in read] for i in (0, 1)] if tell else []
+            return [out, [len(t) for t in out], *more]
 
         return fn
 
-    return map_rows(rows, make, fields, ["row"]).select("row.*", "text", "n_chars")
+    return map_rows(rows, make, fields, ["row"]).select("row.*", *[f.name for f in fields])
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
