@@ -7,21 +7,23 @@ Index: a list is kept in blocks of one step of sizes and one bin of positions. W
 bins alone, so blocks are joined only where it can be, and all others are skipped at once.
 
 Answers: a set that is highly similar to a leader (the set with the most common shingles among those that share a minimal hash) joins
-its family, kept as what it lacks and what it adds. Only leaders meet in lists and are intersected. A member's overlap with any
-set is that of its leader, less what it lacks, plus what it adds; families whose leaders overlap too little for that to reach a
-link are skipped without looking at members. A family is connected by its links, so pairs within it are never made, and
-neither are pairs of one component.
+its family. A family has a centre, the shingles that most of it hold, and each set is kept as what it lacks of the centre and
+adds to it. Only families meet in lists, and only centres are intersected. A set's overlap with any other is that of its centre,
+less what it lacks, plus what it adds; families whose centres overlap too little for that to reach a link are skipped without
+looking at their sets, and of others only the sets that hold what the centres do not share, or are small enough, are looked at.
+A family is connected by its links, so pairs within it are never made, and neither are pairs of one component.
 
 Defined results: a null or wordless text has the empty set, which links with nothing; its document is a component of its own. A
 null doc_id never is the smallest of a component unless all are null. Repeated rows come out as often as they come in. An
 empty table gives an empty result. Only doc_id and text are read, whatever else there is. Shingles are told apart by their 64-bit
-XXH64. Memory: the set of one text, one family's differences to its leader in a row each.
+XXH64. Memory: the set of one text, a set's differences to its centre.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ LEAST, SHINGLE = (17, 20), 4
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Bins of positions in a prefix.
 BINS = 4
+#: Sets of a family, nearest to its centre first, that meet another family before all that may matter do.
+CENTRAL = 4
 
 
 class Rule:
@@ -126,8 +130,8 @@ def listed(ids: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int) -> Dat
     return sets.where("not again").select("set", "s").unionByName(sets.where("again").groupBy("set").agg(F.first("s").alias("s")))
 
 
-def families(sets: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """links (a, b), and members (set, leader, size, lacks, adds) of sets that link with a leader, which is no member itself."""
+def families(sets: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links (a, b), people (set, leader, size, lacks, adds: of and to the centre; leaders included) and centres (leader, out, more: what the leader has and lacks that the centre has not and has)."""
     keys = sets.select("set", F.explode("keys").alias("key"), (-F.col("fame")).alias("less"))
     leaders = keys.groupBy("key").agg(F.min(F.struct("less", "set")).alias("first"), F.max(F.struct("less", "set")).alias("last")).where("first.set <> last.set")
     leaders = materialize(leaders.select("key", F.col("first.set").alias("leader")), "leaders")
@@ -138,31 +142,39 @@ def families(sets: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int, rul
     pairs = pairs.where(rule.enough(F.least("size", "size2"), sizes) & (odd_bits("bits", "bits2") * (rule.up + rule.down) <= rule.may_differ(sizes)))
     pairs = materialize(pairs.select("set", "leader", "size", "size2"), "to-leaders")
     ids = materialize(pairs.select("set").union(pairs.select("leader")).distinct(), "ids")
-    lists = materialize(listed(ids, rows, sig, shingle), "lists")
+    lists = listed(ids, rows, sig, shingle)
     both = pairs.join(lists, "set").join(lists.toDF("leader", "t"), "leader")
     both = both.withColumns({"lacks": F.array_except("t", "s"), "adds": F.array_except("s", "t")})
     near = materialize(both.where(rule.enough(F.col("size") - F.size("adds"), F.col("size") + F.col("size2"))).drop("s", "t"), "near")
     links = near.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-    # a leader that has members stays whole; others go to the nearest of their leaders that does
-    better = near.select("set", "leader", "size", "lacks", "adds", (F.size("lacks") + F.size("adds")).alias("apart"))
+    # a leader that has members stays one; others go to the nearest of their leaders
+    better = near.select("set", "leader", "size", "size2", "lacks", "adds", (F.size("lacks") + F.size("adds")).alias("apart"))
     chosen = better.groupBy("set").agg(F.min(F.struct("apart", "leader")).alias("c")).select("set", F.col("c.leader").alias("leader"))
     kept = materialize(chosen.select("leader").distinct(), "whole")
     members = better.join(chosen, ["set", "leader"]).join(small(kept.withColumnRenamed("leader", "set")), "set", "left_anti").drop("apart")
-    return links, materialize(members, "members")
+    members = materialize(members, "members")
+    none = F.array().cast("array<bigint>")
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n"), F.first("size2").alias("size"))
+    turned = members.select("leader", F.explode("lacks").alias("token"), F.lit(True).alias("out")).unionByName(members.select("leader", F.explode("adds").alias("token"), F.lit(False).alias("out")))
+    turned = turned.groupBy("leader", "token", "out").agg(F.count("*").alias("k")).join(sizes, "leader").where("2 * k > n")
+    turned = turned.groupBy("leader").agg(F.collect_list(F.when(F.col("out"), F.col("token"))).alias("out"), F.collect_list(F.when(~F.col("out"), F.col("token"))).alias("more"))
+    centres = materialize(sizes.join(turned, "leader", "left").select("leader", "size", F.coalesce("out", none).alias("out"), F.coalesce("more", none).alias("more")), "centres")
+    people = members.drop("size2").unionByName(centres.select(F.col("leader").alias("set"), "leader", "size", none.alias("lacks"), none.alias("adds"))).join(small(centres.drop("size")), "leader")
+    lacks = F.array_union(F.array_except("lacks", "out"), F.array_except("more", "adds"))
+    adds = F.array_union(F.array_except("adds", "more"), F.array_except("out", "lacks"))
+    return links, materialize(people.select("set", "leader", "size", lacks.alias("lacks"), adds.alias("adds")), "people"), centres
 
 
 def candidates(sets: DataFrame, family: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Pairs a < b of leaders of different components whose families may hold a link; family: set, leader; found: node, root."""
-    each = sets.select("set", "size", F.posexplode("prefix").alias("pos", "v")).join(family, "set", "left")
-    each = each.select("v", F.coalesce("leader", "set").alias("leader"), "size", (F.col("size") - F.col("pos")).alias("rest"), rule.step(F.col("size")).alias("step"), rule.bin(F.col("pos"), F.col("size")).alias("bin"))
-    blocks = materialize(each.groupBy("v", "step", "bin", "leader").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest")), "blocks")
-    lists = blocks.groupBy("v").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo <> hi").select("v")
-    blocks = blocks.join(lists, "v").join(found, F.col("leader") == F.col("node"), "left").drop("node")
-    blocks = materialize(blocks.withColumn("root", F.coalesce("root", "leader")), "mixed")
-    mixed = blocks.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    blocks = blocks.join(mixed, "v")
+    placed = sets.select("set", "size", "prefix").join(family, "set", "left").join(found, F.col("set") == F.col("node"), "left")
+    placed = placed.select(F.coalesce("leader", "set").alias("leader"), F.coalesce("root", "set").alias("root"), "size", F.posexplode("prefix").alias("pos", "v"))
+    # only lists with sets of more than one component matter
+    lists = materialize(placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v"), "mixed")
+    each = placed.select("v", "leader", "root", "size", (F.col("size") - F.col("pos")).alias("rest"), rule.step(F.col("size")).alias("step"), rule.bin(F.col("pos"), F.col("size")).alias("bin")).join(small(lists), "v")
+    blocks = materialize(each.groupBy("v", "step", "bin", "leader", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest")), "blocks")
     meeting = F.array(*[F.array(*[F.lit(j) for j in rule.meeting(i)]).cast("array<int>") for i in range(BINS)])
-    asking = blocks.withColumn("bin", F.explode(F.get(meeting, "bin"))).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("step", F.col("step") + F.col("up")).toDF("v", "step", "bin", "leader2", "least2", "most2", "rest2", "root2", "up")
+    asking = blocks.withColumn("bin", F.explode(F.get(meeting, "bin"))).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("step", F.col("step") + F.col("up")).toDF("v", "step", "bin", "leader2", "root2", "least2", "most2", "rest2", "up")
     sizes = F.col("least") + F.col("least2")
     # within a step each pair of leaders meets twice, once in either order
     once = (F.col("root") != F.col("root2")) & ((F.col("up") == 1) | (F.col("leader") < F.col("leader2")))
@@ -171,59 +183,95 @@ def candidates(sets: DataFrame, family: DataFrame, found: DataFrame, rule: Rule)
     return met.select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
 
 
-def derived(open_pairs: DataFrame, members: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between members of the families of open_pairs(a, b, shared), from their leaders' overlap and the members' differences."""
-    none = F.array().cast("array<bigint>")
-    whole = lists.select("set", F.col("set").alias("leader"), F.size("s").cast("long").alias("size"), none.alias("lacks"), none.alias("adds"))
-    people = members.select("set", "leader", "size", "lacks", "adds").unionByName(whole)
-    inside = lambda x, of: F.size(F.array_intersect(x, of))
+def derived(pairs: DataFrame, people: DataFrame, lists: DataFrame, rule: Rule, central: bool) -> DataFrame:
+    """Links (a, b) between sets of the families of pairs, from their centres' overlap and the sets' differences.
 
-    def side(mine: str, other: str) -> DataFrame:
-        """Members of one side with change, by which their overlap with the other leader differs from their own leader's."""
-        met = open_pairs.join(people, F.col(mine) == F.col("leader")).join(lists.toDF("o", "s"), F.col(other) == F.col("o"))
+    pairs: families a and b, what their centres share, and lo and adds of each (smallest size, most that a set adds). lists: the
+    centres. Central: only the sets nearest to their centres are compared. Otherwise a set counts that adds a shingle which the other
+    family holds, or that could link by what the centres share if it adds none; no other set can have a link.
+    """
+    inside = lambda x, of: F.size(F.array_intersect(x, of))
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct(), "asked")
+    none = F.array().cast("array<bigint>")
+    here = people.join(small(asked), "leader", "left_semi")
+    alone = lists.join(people.select(F.col("leader").alias("set")), "set", "left_anti").join(asked.withColumnRenamed("leader", "set"), "set", "left_semi")
+    here = here.unionByName(alone.select("set", F.col("set").alias("leader"), F.size("s").cast("long").alias("size"), none.alias("lacks"), none.alias("adds")))
+    if central:
+        nearest = W.partitionBy("leader").orderBy(F.size("lacks") + F.size("adds"), "set")
+        here = here.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= CENTRAL).drop("n")
+    here = materialize(here, "sets-of-pairs")
+    if not central:
+        tokens = lists.toDF("holder", "s").join(asked.withColumnRenamed("leader", "holder"), "holder", "left_semi").select("holder", F.explode("s").alias("token"))
+        tokens = tokens.unionByName(here.select(F.col("leader").alias("holder"), F.explode("adds").alias("token"))).distinct()
+        reaching = here.select("leader", "set", F.explode("adds").alias("token")).join(tokens, "token").where("leader <> holder")
+        reaching = materialize(reaching.select("leader", "holder", "set").distinct(), "reaching")
+
+    def side(mine: str, other: str, j: int) -> DataFrame:
+        """Sets of one side with change, by which their overlap with the other centre differs from their own centre's."""
+        of = pairs.select("a", "b", "shared", f"adds{j}", f"lo{j}")
+        if central:
+            chosen = of.join(here.select("set", "leader"), F.col(mine) == F.col("leader")).select("a", "b", "set")
+        else:
+            by_token = of.join(reaching, (F.col(mine) == F.col("leader")) & (F.col(other) == F.col("holder"))).select("a", "b", "set")
+            fits = rule.enough(F.col("shared") + F.col(f"adds{j}"), F.col("size") + F.col(f"lo{j}"))
+            chosen = by_token.unionByName(of.join(here.select("set", "leader", "size"), (F.col(mine) == F.col("leader")) & fits).select("a", "b", "set")).distinct()
+        met = chosen.join(pairs.select("a", "b", "shared"), ["a", "b"]).join(here, "set").join(lists.toDF("o", "s"), F.col(other) == F.col("o"))
         return met.select("a", "b", "shared", "set", "size", "lacks", "adds", (inside("adds", "s") - inside("lacks", "s")).alias("change"))
 
-    x, y = side("a", "b"), side("b", "a").toDF("a", "b", "shared2", "set2", "size2", "lacks2", "adds2", "change2")
+    x, y = side("a", "b", 2), side("b", "a", 1).toDF("a", "b", "shared2", "set2", "size2", "lacks2", "adds2", "change2")
     base, sizes = F.col("shared") + F.col("change") + F.col("change2"), F.col("size") + F.col("size2")
     may = rule.enough(base + F.least(F.size("lacks"), F.size("lacks2")) + F.least(F.size("adds"), F.size("adds2")), sizes)
-    met = x.join(y, ["a", "b"]).where(may)
     shared = base + inside("lacks", "lacks2") + inside("adds", "adds2") - inside("lacks", "adds2") - inside("adds", "lacks2")
-    return met.where(rule.enough(shared, sizes)).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
+    met = x.join(y, ["a", "b"]).where(may & rule.enough(shared, sizes))
+    return met.select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
+
+
+def apart_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) of which a and b are of different components found(node, root)."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(found.toDF("node", f"root_{side}"), F.col(side) == F.col("node"), "left").drop("node")
+    return out.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
 def linked_sets(rows: DataFrame, sig: DataFrame, shingle: int, rule: Rule) -> DataFrame:
     """(node, root) of the sets that link with another one."""
     sets = materialize(sig.where("prefix is not null").dropDuplicates(["set"]).drop("doc_id", "th"), "sets")
-    links, members = families(sets, rows, sig, shingle, rule)
+    links, people, centres = families(sets, rows, sig, shingle, rule)
     links = materialize(links, "links")
     found = components(links)
-    family = members.groupBy("leader").agg(F.min("size").alias("lo"), F.max(F.size("adds")).alias("adds"), F.max(F.size("adds") + F.size("lacks")).alias("apart"))
+    family = people.groupBy("leader").agg(F.min("size").alias("lo"), F.max(F.size("adds")).alias("adds"), F.max(F.size("adds") + F.size("lacks")).alias("apart"))
+    family = family.join(centres.select("leader", (F.size("out") + F.size("more")).alias("moved")), "leader")
     own = sets.select("set", "size", "bits").join(family, F.col("set") == F.col("leader"), "left").drop("leader")
-    own = own.select("set", "size", "bits", F.least("size", "lo").alias("lo"), F.coalesce("adds", F.lit(0)).alias("adds"), F.coalesce("apart", F.lit(0)).alias("apart"))
-    pairs = candidates(sets, members.select("set", "leader"), found, rule)
+    # no set of the family is further from the leader
+    apart = F.coalesce(F.col("apart") + F.col("moved"), F.lit(0))
+    own = own.select("set", "size", "bits", F.coalesce("lo", "size").alias("lo"), F.coalesce("adds", F.lit(0)).alias("adds"), apart.alias("apart"))
+    pairs = candidates(sets, people.select("set", "leader"), found, rule)
     pairs = pairs.join(own.toDF("a", *[f"{c}1" for c in own.columns[1:]]), "a").join(own.toDF("b", *[f"{c}2" for c in own.columns[1:]]), "b")
-    # leaders differ in no more shingles than their families' members do, and these from them
     lists_fit = F.least(F.size("bits1"), F.size("bits2")) * 2 >= F.greatest(F.size("bits1"), F.size("bits2"))
     apart = F.when(lists_fit, odd_bits("bits1", "bits2")).otherwise(0) - F.col("apart1") - F.col("apart2")
     highest = (F.col("size1") + F.col("size2") + F.col("apart1") + F.col("apart2")) * (rule.down - rule.up)
-    pairs = materialize(pairs.where(apart * (rule.up + rule.down) <= highest).drop("bits1", "bits2"), "pairs")
+    pairs = materialize(pairs.where(apart * (rule.up + rule.down) <= highest).select("a", "b", "lo1", "lo2", "adds1", "adds2"), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "ids")
-    lists = materialize(listed(ids, rows, sig, shingle), "lists")
+    lists = listed(ids, rows, sig, shingle).join(small(centres.select(F.col("leader").alias("set"), "out", "more")), "set", "left")
+    lists = lists.select("set", F.when(F.col("out").isNull(), F.col("s")).otherwise(F.array_union(F.array_except("s", "out"), "more")).alias("s"))
+    lists = materialize(lists, "centre-lists")
     met = pairs.join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y"))).drop("x", "y")
-    met = met.where(rule.enough(F.col("shared") + F.col("adds1") + F.col("adds2"), F.col("lo1") + F.col("lo2")))
-    met = materialize(met.withColumn("linked", rule.enough(F.col("shared"), F.col("size1") + F.col("size2"))), "met")
-    more = met.where("linked").select("a", "b")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
-    rest = met.where("not linked and apart1 + apart2 > 0").select("a", "b", "shared")
-    for side in ("a", "b"):
-        rest = rest.join(found.toDF("node", f"root_{side}"), F.col(side) == F.col("node"), "left").drop("node")
-    rest = materialize(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "shared"), "open")
-    if rest.isEmpty():
-        return found
-    last = materialize(derived(rest, members, lists, rule), "links")
-    return found if last.isEmpty() else components(links.unionByName(last))
+    met = materialize(met.where(rule.enough(F.col("shared") + F.col("adds1") + F.col("adds2"), F.col("lo1") + F.col("lo2"))), "met")
+    for central in (True, False):
+        if met.isEmpty():
+            break
+        more = materialize(derived(met, people, lists, rule, central), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+            met = materialize(apart_pairs(met, found), "met")
+        if central:
+            # sets without a family have been compared
+            families_of = people.select("leader").distinct()
+            met = met.join(families_of.withColumn("fa", F.lit(True)), F.col("a") == F.col("leader"), "left").drop("leader").join(families_of.withColumn("fb", F.lit(True)), F.col("b") == F.col("leader"), "left").drop("leader")
+            met = materialize(met.where("fa or fb").drop("fa", "fb"), "met")
+    return found
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:

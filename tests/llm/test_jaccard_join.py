@@ -75,11 +75,22 @@ def test_components_match_all_pairs(spark, seed):
 
 def test_without_leaders_the_lists_alone_find_every_link(spark, monkeypatch):
     rows = corpus(4)
-    nothing = lambda sets, *_: (spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "set long, leader long, size long, lacks array<long>, adds array<long>"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    nothing = lambda *_: (empty("a long, b long"), empty("set long, leader long, size long, lacks array<long>, adds array<long>"), empty("leader long, size long, out array<long>, more array<long>"))
     monkeypatch.setattr(jj, "families", nothing)
     assert Counter(map(tuple, jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+def test_families_without_their_centre_link_all_that_link(spark, monkeypatch):
+    """Copies of a text that is not there itself, with few edits or many, and only the least central sets compared first."""
+    rng = random.Random(11)
+    centre = [f"{rng.choice('abcdefgh')}{rng.randrange(200)}" for _ in range(160)]
+    rows = [(i, " ".join(edited(centre, 1 + i % 7, rng))) for i in range(90)]
+    rows += [(100 + i, " ".join(edited(rows[i][1].split(), 1, rng))) for i in range(20)]
+    monkeypatch.setattr(jj, "CENTRAL", 1)
+    assert Counter(map(tuple, jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_skipped_blocks_hold_no_link():
     rule = jj.Rule(17, 20)
     width = 3 / 20 / jj.BINS
