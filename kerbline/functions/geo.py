@@ -62,16 +62,20 @@ def project(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Colum
 
 
 def in_polygon(lat: Column, lon: Column, polygon: Sequence[tuple[int, int]]) -> Column:
-    """Even-odd rule on whole nanodegrees with truncating division; polygon may be closed or open. For extents up to about 3 degrees."""
-    crossings = F.lit(0)
-    for (a_lat, a_lon), (b_lat, b_lon) in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True):
-        if a_lat == b_lat:
-            continue
-        product = (lat - F.lit(a_lat)) * F.lit(b_lon - a_lon)
-        at = F.call_function("div", product, F.lit(b_lat - a_lat)) + F.lit(a_lon)
-        between = (lat < a_lat) != (lat < b_lat)
-        crossings = crossings + F.when(between & (lon < at), 1).otherwise(0)
-    return crossings % 2 == 1
+    """Even-odd rule on whole nanodegrees with truncating division; polygon may be closed or open. For extents up to about 3 degrees.
+
+    lat and lon are read once for all edges, so formulas in their place do not multiply.
+    """
+    pairs = [(a, b) for a, b in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True) if a[0] != b[0]]
+    number = lambda x, name: F.lit(x).cast("long").alias(name)
+    edges = F.array(*[F.struct(number(a[0], "a"), number(b[0], "b"), number(a[1], "lon"), number(b[1] - a[1], "run")) for a, b in pairs])
+
+    def crossed(point: Column, edge: Column) -> Column:
+        at = F.call_function("div", (point["lat"] - edge["a"]) * edge["run"], edge["b"] - edge["a"]) + edge["lon"]
+        return ((point["lat"] < edge["a"]) != (point["lat"] < edge["b"])) & (point["lon"] < at)
+
+    here = F.array(F.struct(lat.alias("lat"), lon.alias("lon")))
+    return F.get(F.transform(here, lambda point: F.size(F.filter(edges, lambda edge: crossed(point, edge))) % 2 == 1), F.lit(0))
 
 
 def in_polygon_degrees(lat: Column, lon: Column, corners: Sequence[tuple[float, float]] = AREA) -> Column:

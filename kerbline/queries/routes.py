@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, polyline
 from ..jobs import best_route, directions
 from ..jobs import walkways as walkway_job
-from ..operators import edges, routing, scoring, snap, stairs, walkways
+from ..operators import alternatives, edges, routing, scoring, snap, stairs, walkways
 from ..sources.fixtures import ctes, load
 from .sqltext import DENSE_EDGES, POLYGON_DEGREES, hav, hav_asin
 
@@ -91,7 +91,7 @@ def search(weights: str, requests: str = "requests") -> str:
     return f"""{ctes('dense_vertices', 'stairs', requests)}, {DENSE_EDGES}, {near(0.001)},
     weighed AS (SELECT e.*, {weights} AS w FROM dense_edges e LEFT JOIN touching t USING (edge_id)),
     arcs AS (SELECT u AS src, v AS dst, w FROM weighed UNION ALL SELECT v, u, w FROM weighed),
-    reqs AS (SELECT req_id, src, dst, coalesce((SELECT sum(w) FROM weighed e WHERE e.way_id = r.req_id AND e.seq < 2), 0) + 0.001 AS most FROM {requests} r),
+    reqs AS (SELECT req_id, src, dst, coalesce((SELECT sum(w) FROM weighed e WHERE e.way_id = r.req_id), 0) + 0.001 AS most FROM {requests} r),
     reach(req_id, node, cost, most) USING KEY (req_id, node) AS (SELECT req_id, src, 0.0::DOUBLE, most::DOUBLE FROM reqs UNION
         SELECT f.req_id, a.dst, min(f.cost + a.w), min(f.most) FROM reach f JOIN arcs a ON a.src = f.node LEFT JOIN recurring.reach r ON r.req_id = f.req_id AND r.node = a.dst
         WHERE f.cost + a.w <= f.most AND (r.cost IS NULL OR f.cost + a.w < r.cost) GROUP BY f.req_id, a.dst)
@@ -99,14 +99,15 @@ def search(weights: str, requests: str = "requests") -> str:
 
 
 def placed_arcs(spark, sf, penalised: bool):
-    """Arcs of the dense graph with the place of their end."""
+    """Arcs of the dense graph with the places of their ends."""
     graph = stairs.with_penalty(dense_edges(spark, sf), load(spark, sf, "stairs")) if penalised else dense_edges(spark, sf).withColumn("penalty", F.lit(0.0))
     return directions.both_arcs(graph, F.col("distance") + F.col("penalty"))
 
 
 def placed_requests(spark, sf, name: str = "requests"):
-    goals = load(spark, sf, "dense_nodes").select(F.col("id").alias("dst"), (F.col("lat") / 1e9).alias("goal_lat"), (F.col("lon") / 1e9).alias("goal_lon"))
-    return load(spark, sf, name).join(goals, "dst")
+    nodes = load(spark, sf, "dense_nodes")
+    place = lambda node, of: nodes.select(F.col("id").alias(node), (F.col("lat") / 1e9).alias(f"{of}_lat"), (F.col("lon") / 1e9).alias(f"{of}_lon"))
+    return load(spark, sf, name).join(place("src", "src"), "src").join(place("dst", "goal"), "dst")
 
 
 @query("G2_step_free_paths", search("d + CASE WHEN t.edge_id IS NULL THEN 0.0 ELSE 1e6 END"))
@@ -121,7 +122,7 @@ def shortest_paths(spark, sf):
 
 @query("K1_k_shortest")
 def k_shortest(spark, sf):
-    found = routing.k_shortest_paths(placed_requests(spark, sf), placed_arcs(spark, sf, False), 5)
+    found = alternatives.k_shortest_paths(placed_requests(spark, sf), placed_arcs(spark, sf, False), 5)
     return found.select("req_id", "rank", F.round("cost", 3).alias("cost"), F.size("edge_ids").alias("n_edges"))
 
 
@@ -332,7 +333,7 @@ def first_minimum(spark, sf):
 
 
 def text_requests(spark, sf):
-    """Points some metres from the ends of the requests of suppliers, as text."""
+    """Points some metres from the ends of the requests, as text."""
     text = F.concat_ws(",", F.col("lat") / 1e9 + 0.0001, F.col("lon") / 1e9)
     nodes = load(spark, sf, "dense_nodes")
     a, b = nodes.select(F.col("id").alias("src"), text.alias("start")), nodes.select(F.col("id").alias("dst"), text.alias("end"))
@@ -347,12 +348,16 @@ def batch_directions(spark, sf):
 
 @query("WC_best_routes")
 def best_routes(spark, sf):
-    """Requests to their best of three alternatives, by a model that candidates trained."""
-    found = best_route.best_routes(text_requests(spark, sf), dense_edges(spark, sf), load(spark, sf, "stairs"), load(spark, sf, "elevations"), model(spark, sf), 3)
+    """Requests to their best of five alternatives, by a model that candidates trained."""
+    found = best_route.best_routes(text_requests(spark, sf), dense_edges(spark, sf), load(spark, sf, "stairs"), load(spark, sf, "elevations"), model(spark, sf))
     return found.select("req_id", "cand_id", F.round("distance", 3).alias("distance"), "stairs", F.round("prediction", 3).alias("prediction"), "encoded_polyline")
 
 
 @query("WD_walkway_graph")
 def walkway_graph(spark, sf):
+    """Nodes and edges of the walkways' graph, by rows of cells some hundred metres high."""
     nodes, links = walkway_job.walkway_graph(lines(spark, sf), digits=7)
-    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(links.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 1).alias("metres")))  # one row each
+    cell = lambda lat: F.floor(lat * 1000).alias("cell")
+    ends = nodes.groupBy(cell(F.col("lat"))).agg(F.count("*").alias("n_nodes"))
+    ways = links.groupBy(cell(F.col("a.lat"))).agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 1).alias("metres"))
+    return ends.join(ways, "cell", "full").select("cell", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("metres", F.lit(0.0)).alias("metres"))

@@ -26,21 +26,21 @@ TABLES = {
         FROM (SELECT DISTINCT node_id AS id FROM {dense_refs}) t""",
     "vertices": "SELECT way_id, pos, node_id, lat, lon FROM {way_refs} r JOIN {all_nodes} n ON r.node_id = n.id",
     "dense_vertices": "SELECT way_id, pos, node_id, lat, lon FROM {dense_refs} r JOIN {dense_nodes} n ON r.node_id = n.id",
-    "way_tags": """SELECT o_orderkey AS way_id, 'highway' AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'footway' WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'P' THEN 'steps' ELSE 'path' END
+    "way_tags": """SELECT o_orderkey AS way_id, 'highway' AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'footway' WHEN '2-HIGH' THEN 'steps'
         WHEN '3-MEDIUM' THEN 'primary' WHEN '4-NOT SPECIFIED' THEN 'path' ELSE 'motorway' END AS v FROM {orders}
         UNION ALL SELECT o_orderkey, 'surface', CASE o_orderstatus WHEN 'F' THEN 'ground' ELSE 'asphalt' END FROM {orders}""",
     # every way that is tagged as steps
     "stairs": """SELECT r.node_id AS id, n.lat, n.lon FROM {dense_refs} r JOIN {dense_nodes} n ON r.node_id = n.id
-        JOIN {orders} o ON o.o_orderkey = r.way_id WHERE o.o_orderpriority = '2-HIGH' AND o.o_orderstatus = 'P'""",
+        JOIN {orders} o ON o.o_orderkey = r.way_id WHERE o.o_orderpriority = '2-HIGH'""",
     "segments": """SELECT p_partkey AS edge_id, 40893000000 + ((p_partkey * 7919) % 33000) * 1000 AS a_lat,
         -73139000000 + ((p_partkey * 104729) % 31500) * 1000 AS a_lon,
         40893000000 + ((p_partkey * 7919) % 33000) * 1000 + (p_size - 25) * 20000 AS b_lat,
         -73139000000 + ((p_partkey * 104729) % 31500) * 1000 + (p_partkey % 51 - 25) * 20000 AS b_lon FROM {part}""",
     "points": """SELECT c_custkey AS req_id, (40893000 + (c_custkey * 4799) % 33000) / 1e6 AS lat,
         (-73139000 + (c_custkey * 15485863) % 31500) / 1e6 AS lon FROM {customer}""",
-    # from the first to the third node of the way that bears a supplier's number
+    # from the first to the last node of the way that bears a customer's number
     "requests": """SELECT way_id AS req_id, min_by(node_id, pos) AS src, max_by(node_id, pos) AS dst FROM {dense_refs} r
-        JOIN {supplier} c ON c.s_suppkey = r.way_id WHERE pos <= 2 GROUP BY way_id""",
+        JOIN {customer} c ON c.c_custkey = r.way_id GROUP BY way_id""",
     "elevations": "SELECT id, CAST((id * 31) % 400 / 10e0 AS DOUBLE) AS elevation FROM {nodes}",
     "candidates": """SELECT l_orderkey AS req_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS cand_id,
         l_extendedprice AS distance, l_discount AS avg_slope, CAST(l_linenumber % 3 AS DOUBLE) AS stairs,

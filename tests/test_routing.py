@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbline.jobs.best_route import alternatives
 from kerbline.jobs.directions import directions, parse_point, steps
+from kerbline.operators import alternatives as alt
 from kerbline.operators import edges, routing, scoring, ways
 from kerbline.sources import io, pbf
 
@@ -45,13 +46,65 @@ def test_paths_match_enumeration(spark):
     weight = {e: w for e, _, _, w in g}
     assert all(sum(weight[e] for e in r.edge_ids) == r.cost and len(r.nodes) == len(r.edge_ids) + 1 for r in got.values())
     best = {}
-    for r in routing.k_shortest_paths(problems, arcs_of(spark, g), 4).collect():
+    for r in alt.k_shortest_paths(problems, arcs_of(spark, g), 4).collect():
         best.setdefault(r.req_id, []).append((r.rank, r.cost))
         assert len(set(r.nodes)) == len(r.nodes)
     for i, c in want.items():
         assert [x for _, x in sorted(best.get(i, []))] == pytest.approx(c[:4]), i
 
 
+def grid(n, rng):
+    """A grid of streets with a dead end, parallel edges and a loop; whole lengths, so that ties are exact."""
+    g = []
+    for i in range(n):
+        for j in range(n):
+            for a, b in ((i + 1, j), (i, j + 1)):
+                if a < n and b < n:
+                    g.append((len(g), i * n + j, a * n + b, float(rng.choice([1, 2, 3]))))
+    return [*g, (len(g), 0, 500, 2.0), (len(g) + 1, 1, 2, 1.0), (len(g) + 2, 3, 3, 1.0), (len(g) + 3, 600, 601, 1.0)]
+
+
+def simple_paths(g, src, dst):
+    """(cost, nodes, edges) of all loopless paths."""
+    out, todo = [], [(0.0, (src,), ())]
+    while todo:
+        cost, nodes, used = todo.pop()
+        if nodes[-1] == dst:
+            out.append((cost, list(nodes), list(used)))
+            continue
+        for e, u, v, w in g:
+            for a, b in {(u, v), (v, u)}:
+                if a == nodes[-1] and b not in nodes:
+                    todo.append((cost + w, (*nodes, b), (*used, e)))
+    return sorted(out)
+
+
+def test_k_paths_match_all_paths_of_a_grid(spark, monkeypatch):
+    g = grid(4, random.Random(5))
+    pairs = [(1, 0, 15), (2, 3, 12), (3, 500, 10), (4, 500, 0), (5, 7, 7), (6, 0, 600), (7, 600, 601), (8, 0, 999), (9, 2, 1)]
+    problems = spark.createDataFrame(pairs, "req_id long, src long, dst long")
+    want = {i: simple_paths(g, a, b)[:5] for i, a, b in pairs}
+
+    def got(found):
+        out = {i: [] for i, _, _ in pairs}
+        for r in sorted(found.collect(), key=lambda r: (r.req_id, r.rank)):
+            out[r.req_id].append((r.cost, r.nodes, r.edge_ids))
+        return out
+
+    assert got(alt.k_shortest_paths(problems, arcs_of(spark, g), 5)) == want
+    # requests with many open paths are solved by spurs
+    monkeypatch.setattr(alt, "MOST_PATHS", 0)
+    found = got(alt.k_shortest_paths(problems.where("req_id in (1, 8)"), arcs_of(spark, g), 2))
+    assert all([c for c, _, _ in found[i]] == [c for c, _, _ in want[i]][:2] for i in (1, 8))
+
+
+def test_a_lost_round_is_written_again(spark):
+    """No round reads folders that are gone: what a search returns can be computed twice."""
+    g = graph(3)
+    found = routing.shortest_paths(spark.createDataFrame([(1, 0, 5), (2, 3, 9)], "req_id long, src long, dst long"), arcs_of(spark, g))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, found.repartition(3).collect()))
+
+
 def square(spark):
     """A square of four edges with stairs on the short way, and a loop."""
     at = {1: (40_900_000_000, -73_120_000_000), 2: (40_901_000_000, -73_120_000_000), 3: (40_901_000_000, -73_119_000_000), 4: (40_900_000_000, -73_117_000_000)}
@@ -156,6 +209,21 @@ def test_pbf_round_trip(spark, tmp_path):
     got = {r.way_id: (r.refs, r.tags) for r in read("ways").collect()}
     assert got == {55: ([7, 3, 7], {"highway": "steps", "näme": "ü"}), 56: ([], {})}
     assert tuple(read("header").first()) == (40_893, 40_926, -73_139, -73_101)
+    # a folder of extracts, and what the options leave out
+    (tmp_path / "all" / "deep").mkdir(parents=True)
+    (tmp_path / "all" / "a.osm.pbf").write_bytes(data)
+    (tmp_path / "all" / "deep" / "b.pbf").write_bytes(blob(b"OSMHeader", box) + blob(b"OSMData", strings + group2))
+    (tmp_path / "all" / "notes.txt").write_text("no extract")
+    folder = lambda kind, **options: spark.read.format("osmpbf").options(kind=kind, **options).load(str(tmp_path / "all"))
+    again = [*want, (99, 1000, -2000)]
+    assert sorted(tuple(r) for r in folder("nodes").collect()) == sorted(again)
+    assert sorted(r.way_id for r in folder("ways").collect()) == [55, 55, 56, 56] and folder("header").count() == 2
+    assert sorted(tuple(r) for r in folder("nodes", box="0,-5000,2000,0").collect()) == sorted(n for n in again if 0 <= n[1] <= 2000 and -5000 <= n[2] <= 0)
+    assert sorted(tuple(r) for r in folder("nodes", ids="7,99").collect()) == sorted(n for n in again if 7 <= n[0] <= 99)
+    assert [r.way_id for r in folder("ways", tag="highway").collect()] == [55, 55] and folder("ways", ids="56,56").count() == 2
+    reader = pbf.Reader(str(tmp_path / "all"), "nodes", 1)
+    sizes = [sum(n for _, n in r.blobs) for r in reader.partitions()]
+    assert len(sizes) == 3 and sizes == sorted(sizes, reverse=True)
 
 
 def test_cost_model(spark, tmp_path):
