@@ -2,7 +2,8 @@
 
 Each shard draws a number from a hash of the key and its own number, scaled by its weight; the largest wins. One more
 shard takes rows only into itself. The shard is one expression on the key: no shuffle. Slots number a shard's rows
-without a gap: rows are counted in hash buckets of each shard, the counts give every bucket its first slot.
+without a gap: rows are counted in hash buckets of each shard, the counts give every bucket its first slot. Nothing is written on
+the way: texts are read once for the counts and once for the slots, and only keys, sizes and checksums are shuffled.
 
 Defined results: a null key is a key like another. A null text has no bytes and the crc32 of the empty text. Equal rows
 get consecutive slots. An input column named shard is replaced.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
 
 SHARDS = 24
 #: Rows numbered together.
@@ -43,8 +44,8 @@ def manifest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard, slot (in the shard, from 0) and grown_shard (with one more shard)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    units = materialize(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("m")), "units")
-    buckets = units.count() // (shards * BUCKET_ROWS) + 1
+    units = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("m"))
+    buckets = docs.count() // (shards * BUCKET_ROWS) + 1
     units = assign_shards(units, weights=(1.0,) * shards).withColumn("grown_shard", shard_of(["doc_id"], (1.0,) * (shards + 1)).cast("int"))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
     sums = units.groupBy("shard", "bucket").agg(F.sum("m").alias("rows"))

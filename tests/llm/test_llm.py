@@ -5,7 +5,9 @@ import io
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -219,6 +221,16 @@ def test_sharding_moves_few_and_slots_have_no_gap(spark):
     assert sharding.manifest(docs_of(spark, [])).count() == 0
 
 
+def test_sharding_writes_no_files_of_its_own(spark, tmp_path):
+    rows = [(i // 2 if i % 5 else None, prose(i % 7)) for i in range(300)] + edge_rows()
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/docs")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.rglob("*"))
+    out = sharding.manifest(spark.read.parquet(f"{tmp_path}/docs"))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out.collect()) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert set(shared.rglob("*")) == before
+
+
 # ---- 6 WARC
 
 
