@@ -3,8 +3,9 @@
 Equal sets are one set. Sets are ordered rare shingles first, and two sets that link share one of their first shingles, so an
 inverted index over these prefixes finds every link. Two relations save most of the work:
 
-Index: a list is kept in blocks of one step of sizes and one bin of positions. Whether two blocks can hold a link depends on their
-bins alone, so blocks are joined only where it can be, and all others are skipped at once.
+Index: the prefixes are shuffled once, as short numbers of sets. Most lists end there, as they hold one set or one component; short
+ones give their pairs where they lie. A longer list is kept in blocks of one step of sizes and one bin of positions. Whether two
+blocks can hold a link depends on their bins alone, so blocks are joined only where it can be, and all others are skipped at once.
 
 Answers: a set that is highly similar to a leader (the set with the most common shingles among those that share a minimal hash) joins
 its family. A family has a centre, the shingles that most of it hold, and each set is kept as what it lacks of the centre and
@@ -21,7 +22,10 @@ XXH64. Memory: the set of one text, a set's differences to its centre.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 BINS = 4
 #: Sets of a family, nearest to its centre first, that meet another family before all that may matter do.
 CENTRAL = 4
+#: Sets of a list whose pairs are made within it; texts of the sample that hold a shingle whose list is never brought together.
+SHORT, HOT_TEXTS = 8, 32
 
 
 class Rule:
@@ -73,22 +79,23 @@ class Rule:
         return [j for j in range(BINS) if rest(i) * rest(j) >= 1]
 
 
-def signatures(rows: DataFrame, shingle: int, rule: Rule) -> DataFrame:
-    """doc_id, th, set (id of the set), size, and for the first row of each set that a task meets fame, prefix, bits and keys; for rows(doc_id, th, text).
+def signatures(rows: DataFrame, shingle: int, rule: Rule, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, th, set (id of the set), size, and for the first row of each set that a task meets fame, prefix, bits, keys and number; for rows(doc_id, th, text).
 
     fame: how common the shingles are on average; prefix: the first shingles, rare ones first; bits: at least two parities for each
-    shingle; keys: minimal hashes.
+    shingle; keys: minimal hashes; number: of the row among all, in the order of tasks, which a shuffle packs better than a hash.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+    sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def make():
         (common, often), seen = sent.value, set()
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
 
         def one(text):
             s = shingle_set(shingle_hashes(text, shingle))
             name, n = set_id(s), len(s)
             if name in seen or not n:
-                return name, n, None, None, None, None
+                return name, n, None, None, None, None, None
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(name)
@@ -98,12 +105,12 @@ def signatures(rows: DataFrame, shingle: int, rule: Rule) -> DataFrame:
                 rank = np.where(common[at] == s, often[at], 0)
             first = s[np.lexsort((s, rank))][: rule.prefix(n)]
             keys = (s.view(np.uint64)[:, None] * MULTIPLIERS).min(axis=0).view(np.int64)
-            return name, n, int(rank.sum() // n), first, parities(s, max(64, 1 << (2 * n - 1).bit_length())), keys
+            return name, n, int(rank.sum() // n), first, parities(s, max(64, 1 << (2 * n - 1).bit_length())), keys, next(numbers)
 
-        return lambda batch: list(zip(*map(one, texts(batch)), strict=True)) or [[]] * 6
+        return lambda batch: list(zip(*map(one, texts(batch)), strict=True)) or [[]] * 7
 
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField(n, t) for n, t in (("set", T.LongType()), ("size", T.LongType()), ("fame", T.LongType()), ("prefix", longs), ("bits", longs), ("keys", longs))]
+    fields = [T.StructField(n, t) for n, t in (("set", T.LongType()), ("size", T.LongType()), ("fame", T.LongType()), ("prefix", longs), ("bits", longs), ("keys", longs), ("number", T.LongType()))]
     return map_rows(rows, make, fields, keep=["doc_id", "th"])
 
 
@@ -165,13 +172,40 @@ def families(sets: DataFrame, rows: DataFrame, sig: DataFrame, shingle: int, rul
     return links, materialize(people.select("set", "leader", "size", lacks.alias("lacks"), adds.alias("adds")), "people"), centres
 
 
-def candidates(sets: DataFrame, family: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs a < b of leaders of different components whose families may hold a link; family: set, leader; found: node, root."""
-    placed = sets.select("set", "size", "prefix").join(family, "set", "left").join(found, F.col("set") == F.col("node"), "left")
-    placed = placed.select(F.coalesce("leader", "set").alias("leader"), F.coalesce("root", "set").alias("root"), "size", F.posexplode("prefix").alias("pos", "v"))
+def distinct_sets(sig: DataFrame) -> DataFrame:
+    """Of the rows of sig that tell all of a set, one for each set; only ids are shuffled."""
+    told = sig.where("prefix is not null").drop("doc_id", "th")
+    again = told.groupBy("set").agg(F.min("number").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    again = materialize(again.select("set", "kept"), "again")
+    return told.join(small(again), "set", "left").where("kept is null or kept = number").drop("kept")
+
+
+def candidates(sets: DataFrame, family: DataFrame, found: DataFrame, rule: Rule, hot: list[int]) -> DataFrame:
+    """Pairs a < b of numbers of leaders of different components whose families may hold a link; family: set, leader; found: node, root; hot: shingles whose lists may be very long."""
+    ids = sets.select("set", "number")
+    places = found.join(family.withColumnRenamed("set", "node"), "node", "left").join(ids.toDF("root", "in_root"), "root").join(ids.toDF("leader", "in_leader"), "leader", "left")
+    places = materialize(places.select("node", "in_root", "in_leader"), "places")
+    placed = sets.select("set", "number", "size", "prefix").join(small(places), F.col("set") == F.col("node"), "left")
+    placed = placed.select(F.coalesce("in_leader", "number").alias("leader"), F.coalesce("in_root", "number").alias("root"), "size", F.posexplode("prefix").alias("pos", "v"))
+    listed_hot = F.broadcast(sets.sparkSession.createDataFrame([(v,) for v in hot], "v long"))
+    whole = W.partitionBy("v")
     # only lists with sets of more than one component matter
-    lists = materialize(placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v"), "mixed")
-    each = placed.select("v", "leader", "root", "size", (F.col("size") - F.col("pos")).alias("rest"), rule.step(F.col("size")).alias("step"), rule.bin(F.col("pos"), F.col("size")).alias("bin")).join(small(lists), "v")
+    lists = placed.join(listed_hot, "v", "left_anti") if hot else placed
+    lists = lists.select("*", F.count("*").over(whole).alias("n"), F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi")).where("lo <> hi")
+    one, near = F.struct("leader", "root", "size", "pos"), whole.orderBy("leader", "root", "size", "pos")
+    rest = lambda x: F.col("size") - F.col("pos") if x is None else x["size"] - x["pos"]
+    meets = lambda x: (x["root"] != F.col("root")) & rule.enough(F.least(rest(None), rest(x)), F.col("size") + x["size"])
+    later = F.filter(F.array(*[F.lead(one, k).over(near) for k in range(1, SHORT)]), lambda x: x.isNotNull() & meets(x))
+    others = F.when(F.col("n") <= SHORT, F.transform(later, lambda x: x["leader"])).otherwise(F.array().cast("array<bigint>"))
+    lists = lists.withColumn("others", others).where((F.col("n") > SHORT) | (F.size("others") > 0))
+    lists = materialize(lists.select("v", "leader", "root", "size", "pos", "n", "others"), "lists")
+    short = lists.select("leader", F.explode("others").alias("other")).select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
+    long = lists.where(F.col("n") > SHORT).select("v", "leader", "root", "size", "pos")
+    if hot:
+        more = placed.join(listed_hot, "v", "left_semi").select("v", "leader", "root", "size", "pos")
+        mixed = more.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
+        long = long.unionByName(more.join(F.broadcast(mixed), "v"))
+    each = long.select("v", "leader", "root", "size", (F.col("size") - F.col("pos")).alias("rest"), rule.step(F.col("size")).alias("step"), rule.bin(F.col("pos"), F.col("size")).alias("bin"))
     blocks = materialize(each.groupBy("v", "step", "bin", "leader", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest")), "blocks")
     meeting = F.array(*[F.array(*[F.lit(j) for j in rule.meeting(i)]).cast("array<int>") for i in range(BINS)])
     asking = blocks.withColumn("bin", F.explode(F.get(meeting, "bin"))).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("step", F.col("step") + F.col("up")).toDF("v", "step", "bin", "leader2", "root2", "least2", "most2", "rest2", "up")
@@ -180,7 +214,8 @@ def candidates(sets: DataFrame, family: DataFrame, found: DataFrame, rule: Rule)
     once = (F.col("root") != F.col("root2")) & ((F.col("up") == 1) | (F.col("leader") < F.col("leader2")))
     fits = (F.col("least") * rule.up <= F.col("most2") * rule.down) & (F.col("least2") * rule.up <= F.col("most") * rule.down) & rule.enough(F.least("rest", "rest2"), sizes)
     met = blocks.hint("shuffle_merge").join(asking, ["v", "step", "bin"]).where(once & fits)
-    return met.select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
+    met = met.select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b"))
+    return short.unionByName(met).distinct()
 
 
 def derived(pairs: DataFrame, people: DataFrame, lists: DataFrame, rule: Rule, central: bool) -> DataFrame:
@@ -234,24 +269,24 @@ def apart_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def linked_sets(rows: DataFrame, sig: DataFrame, shingle: int, rule: Rule) -> DataFrame:
+def linked_sets(rows: DataFrame, sig: DataFrame, shingle: int, rule: Rule, hot: list[int]) -> DataFrame:
     """(node, root) of the sets that link with another one."""
-    sets = materialize(sig.where("prefix is not null").dropDuplicates(["set"]).drop("doc_id", "th"), "sets")
+    sets = distinct_sets(sig)
     links, people, centres = families(sets, rows, sig, shingle, rule)
     links = materialize(links, "links")
     found = components(links)
     family = people.groupBy("leader").agg(F.min("size").alias("lo"), F.max(F.size("adds")).alias("adds"), F.max(F.size("adds") + F.size("lacks")).alias("apart"))
-    family = family.join(centres.select("leader", (F.size("out") + F.size("more")).alias("moved")), "leader")
-    own = sets.select("set", "size", "bits").join(family, F.col("set") == F.col("leader"), "left").drop("leader")
+    family = materialize(family.join(centres.select("leader", (F.size("out") + F.size("more")).alias("moved")), "leader"), "families")
+    own = sets.select("number", "set", "size", "bits").join(small(family), F.col("set") == F.col("leader"), "left").drop("leader")
     # no set of the family is further from the leader
     apart = F.coalesce(F.col("apart") + F.col("moved"), F.lit(0))
-    own = own.select("set", "size", "bits", F.coalesce("lo", "size").alias("lo"), F.coalesce("adds", F.lit(0)).alias("adds"), apart.alias("apart"))
-    pairs = candidates(sets, people.select("set", "leader"), found, rule)
+    own = own.select("number", "set", "size", "bits", F.coalesce("lo", "size").alias("lo"), F.coalesce("adds", F.lit(0)).alias("adds"), apart.alias("apart"))
+    pairs = candidates(sets, people.select("set", "leader"), found, rule, hot)
     pairs = pairs.join(own.toDF("a", *[f"{c}1" for c in own.columns[1:]]), "a").join(own.toDF("b", *[f"{c}2" for c in own.columns[1:]]), "b")
     lists_fit = F.least(F.size("bits1"), F.size("bits2")) * 2 >= F.greatest(F.size("bits1"), F.size("bits2"))
     apart = F.when(lists_fit, odd_bits("bits1", "bits2")).otherwise(0) - F.col("apart1") - F.col("apart2")
     highest = (F.col("size1") + F.col("size2") + F.col("apart1") + F.col("apart2")) * (rule.down - rule.up)
-    pairs = materialize(pairs.where(apart * (rule.up + rule.down) <= highest).select("a", "b", "lo1", "lo2", "adds1", "adds2"), "pairs")
+    pairs = materialize(pairs.where(apart * (rule.up + rule.down) <= highest).select(F.col("set1").alias("a"), F.col("set2").alias("b"), "lo1", "lo2", "adds1", "adds2"), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "ids")
     lists = listed(ids, rows, sig, shingle).join(small(centres.select(F.col("leader").alias("set"), "out", "more")), "set", "left")
     lists = lists.select("set", F.when(F.col("out").isNull(), F.col("s")).otherwise(F.array_union(F.array_except("s", "out"), "more")).alias("s"))
@@ -278,8 +313,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int
     """doc_id, n_shingles (size of the document's set) and component_id (smallest doc_id reachable over links) of each row of docs(doc_id, text)."""
     rule = Rule(*least)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    sig = materialize(signatures(rows, shingle, rule), "signatures")
-    found = linked_sets(rows, sig, shingle, rule)
+    common, often = common_shingles(rows, shingle)
+    sig = materialize(signatures(rows, shingle, rule, (common, often)), "signatures")
+    found = linked_sets(rows, sig, shingle, rule, common[often >= HOT_TEXTS].tolist())
     per_set = sig.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
     per_set = per_set.join(found, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
     smallest = per_set.groupBy("root").agg(F.min("m").alias("component_id"), F.sum("n").alias("in_all"))

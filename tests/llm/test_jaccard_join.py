@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from kerbline.llm import jaccard_join as jj
+from kerbline.llm import near_dup
 
 
 def shingles(text, k=4):
@@ -91,6 +92,26 @@ def test_families_without_their_centre_link_all_that_link(spark, monkeypatch):
     assert Counter(map(tuple, jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+def test_short_lists_give_their_pairs_without_blocks(spark, monkeypatch):
+    """Texts that share a passage, too few for a long list, and three that link."""
+    rng, written, real = random.Random(5), {}, jj.materialize
+    passage = [f"p{i}" for i in range(60)]
+    own = [[f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    rows = [(i, " ".join(w + passage)) for i, w in enumerate(own)] + [(10 + i, " ".join(edited(own[0] + passage, 2, rng))) for i in range(2)]
+    monkeypatch.setattr(jj, "materialize", lambda df, label: written.setdefault(label, []).append(real(df, label)) or written[label][-1])
+    assert Counter(map(tuple, jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+    assert written["blocks"][0].count() == 0 < written["pairs"][0].count() + written["lists"][0].count()
+
+
+@pytest.mark.parametrize("short, hot", [(2, 1), (3, 4), (30, 10**6)])
+def test_short_long_and_hot_lists_find_every_link(spark, monkeypatch, short, hot):
+    monkeypatch.setattr(jj, "SHORT", short)
+    monkeypatch.setattr(jj, "HOT_TEXTS", hot)
+    monkeypatch.setattr(near_dup, "ORDER_SAMPLE", 1)
+    rows = corpus(6)
+    assert Counter(map(tuple, jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_skipped_blocks_hold_no_link():
     rule = jj.Rule(17, 20)
     width = 3 / 20 / jj.BINS
