@@ -206,13 +206,17 @@ def score(p: Params, v: Vocabulary, docs: list[np.ndarray], lanes: int = LANES,
     table = p["emb"] @ p["wx"] + p["b"]
     logp = np.zeros(targets.shape, np.float32)
     h = np.zeros((len(used), HIDDEN), np.float32)
-    for t in range(0, len(targets), window):
+    t = 0
+    while t < len(targets):
         active = sum(1 for x in used if x > t)
-        own = inputs[t : t + window, :active]
+        # few lanes are left at the end of long documents: as many tokens at once in more steps
+        steps = window * max(1, len(used) // active)
+        own = inputs[t : t + steps, :active]
         states, _ = recur(p["u"], table[own], own == v.codes - 1, h[:active])
         h = states[-1]
-        flat, want = states.reshape(-1, HIDDEN), targets[t : t + window, :active].reshape(-1)
-        logp[t : t + window, :active] = log_likelihood(p, v, flat, want).reshape(own.shape)
+        flat, want = states.reshape(-1, HIDDEN), targets[t : t + steps, :active].reshape(-1)
+        logp[t : t + steps, :active] = log_likelihood(p, v, flat, want).reshape(own.shape)
+        t += steps
     return np.array([logp[s : s + len(d), lane].sum(dtype=np.float64) for d, (lane, s) in zip(docs, at, strict=True)])
 
 
@@ -275,31 +279,28 @@ def gradients(p: Params, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray,
     dstates = np.zeros_like(flat)
     dstates[real] = down
     dstates = dstates.reshape(states.shape)
-    dx, da = np.empty((*inputs.shape, 3 * n), flat.dtype), np.empty((inputs.shape[1], 3 * n), flat.dtype)
+    # what does not depend on later steps, for the whole window at once
+    before, z, r, new, inner = (np.stack(x) for x in zip(*kept))
+    keeps = 1 - z
+    to_new = keeps * (1 - new * new)
+    to_z = (before - new) * z * keeps
+    to_r = inner * r * (1 - r)
+    dx, da = np.empty((*inputs.shape, 3 * n), flat.dtype), np.empty((*inputs.shape, 3 * n), flat.dtype)
     ut, any_start = np.ascontiguousarray(p["u"].T), starts.any(axis=1)
-    g["u"], dh = np.zeros_like(p["u"]), np.zeros_like(h)
+    dh = np.zeros_like(h)
     for t in range(len(inputs) - 1, -1, -1):
-        before, z, r, new, inner = kept[t]
-        dh = dh + dstates[t]
-        dnew = dh * (1 - z)
-        dnew *= 1 - new * new
-        dz = dx[t, :, :n]
-        np.subtract(before, new, out=dz)
-        dz *= dh
-        dz *= z
-        dz *= 1 - z
-        dr = dx[t, :, n : 2 * n]
-        np.multiply(dnew, inner, out=dr)
-        dr *= r
-        dr *= 1 - r
-        dx[t, :, 2 * n :] = dnew
-        da[:, : 2 * n] = dx[t, :, : 2 * n]
-        np.multiply(dnew, r, out=da[:, 2 * n :])
-        g["u"] += before.T @ da
-        dh *= z
-        dh += da @ ut
+        dh += dstates[t]
+        x_t, a_t = dx[t], da[t]
+        np.multiply(dh, to_z[t], out=x_t[:, :n])
+        dnew = np.multiply(dh, to_new[t], out=x_t[:, 2 * n :])
+        np.multiply(dnew, to_r[t], out=x_t[:, n : 2 * n])
+        a_t[:, : 2 * n] = x_t[:, : 2 * n]
+        np.multiply(dnew, r[t], out=a_t[:, 2 * n :])
+        dh *= z[t]
+        dh += a_t @ ut
         if any_start[t]:
             dh *= ~starts[t][:, None]
+    g["u"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
     table = scattered(inputs.reshape(-1), dx.reshape(-1, 3 * n), v.codes)
     g["b"], g["wx"], g["emb"] = table.sum(axis=0), p["emb"].T @ table, table @ p["wx"].T
     return g, states[-1], loss
@@ -362,16 +363,24 @@ def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, ranks = words.value, coder(words.value)
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
+            others_of, times, ends = [], [], [0]
             for text in texts(b):
                 tokens = tokens_of(text)
                 r = ranks(tokens)
                 others = np.flatnonzero(r < 0)
                 rest = Counter(tokens[i] for i in others)
-                one = (len(r), len(r) - len(others), float(v.known_base[r].sum()), float(v.in_bin[r].sum()), [{"token": t, "n": n} for t, n in rest.items()], v.code[r].tobytes())
+                others_of += rest.keys()
+                times += rest.values()
+                ends.append(len(times))
+                one = (len(r), len(r) - len(others), float(v.known_base[r].sum()), float(v.in_bin[r].sum()), v.code[r].tobytes())
                 for column, x in zip(out, one, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[4:], strict=True))], schema=schema)
+            kind = schema.field("rest").type.value_type
+            counted = pa.StructArray.from_arrays([pa.array(others_of, kind.field(0).type), pa.array(times, kind.field(1).type)], fields=list(kind))
+            made = [pa.array(c, schema.field(k).type) for c, k in zip(out, ("n_tokens", "known", "base", "in_bins", "codes"), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted, type=schema.field("rest").type)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *made[:4], lists, made[4]], schema=schema)
 
     return in_arrow(docs.select("row", "doc_id", "held_out", "h", "text"), run, CODED)
 

@@ -374,6 +374,17 @@ def test_lm_scores_whole_documents_in_lanes_and_gradients():
     assert gru_lm.score(trained, v, docs[2:3])[0] > want[2] and first > 0
 
 
+def test_the_end_of_a_long_document_is_scored_in_few_windows(monkeypatch):
+    head = [(b"w%d" % i, 100 - i) for i in range(60)]
+    v = gru_lm.Vocabulary(head, sum(n for _, n in head) + 50, 140)
+    rng, p, real, calls = np.random.default_rng(4), gru_lm.fresh(v), gru_lm.log_likelihood, []
+    docs = [rng.integers(0, v.codes - 1, n).astype(np.int16) for n in (3000, *[20] * 63)]
+    alone = [gru_lm.score(p, v, [d], 1, 32)[0] for d in docs]
+    monkeypatch.setattr(gru_lm, "log_likelihood", lambda *a: calls.append(len(a[3])) or real(*a))
+    assert np.allclose(gru_lm.score(p, v, docs, 64, 32), alone, rtol=1e-5)
+    assert len(calls) < 10 and max(calls) <= 64 * 32
+
+
 def test_lm_probabilities_sum_to_one():
     v = small_vocabulary()
     p, states = gru_lm.fresh(v), np.random.default_rng(2).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
