@@ -1,8 +1,9 @@
 """Plans that must not send large tables to the driver, or copy pairs."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import snap
+from kerbline.operators import snap, ways
 
 
 def plan(df):
@@ -24,3 +25,16 @@ def test_snapping_broadcasts_nothing(spark, monkeypatch):
     pieces = snap.split_edges(found.withColumn("node_id", F.lit(2).cast("long")), edges)
     assert found.count() == 50 and pieces.count() == 100
     assert not [p for p in [*made, plan(found), plan(pieces)] if "BroadcastHashJoin" in p]
+
+
+@pytest.mark.parametrize("few", [64, 4])
+def test_polygons_of_few_edges_are_settled_where_they_meet(spark, monkeypatch, few):
+    """No pair of node and polygon is shuffled for them; those of many edges keep their bands."""
+    monkeypatch.setattr(ways, "FEW_EDGES", few)
+    ring = [(0, 0), (0, 900), (300, 900), (300, 300), (900, 300), (900, 0)]
+    sides = [(k, a + 100 * k, o, b + 100 * k, q) for k in range(5) for (a, o), (b, q) in zip(ring, [*ring[1:], ring[0]])]
+    nodes = spark.createDataFrame([(i, 37 * i % 1500, 91 * i % 1100) for i in range(300)], "id long, lat long, lon long")
+    found = ways.inside_polygons(nodes, spark.createDataFrame(sides, "polygon_id long, a_lat long, a_lon long, b_lat long, b_lon long"))
+    want = {(r.id, k) for r in nodes.collect() for k in range(5) if (0 <= (y := r.lat - 100 * k) < 300 and r.lon < 900) or (300 <= y < 900 and r.lon < 300)}
+    assert {(r.id, r.polygon_id) for r in found.collect()} == want and len(want) > 100
+    assert ("HashAggregate(keys=[id" in plan(found)) == (few == 4)
