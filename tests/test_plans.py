@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import snap, ways
+from kerbline.operators import snap, stairs, ways
 
 
 def plan(df):
@@ -38,3 +38,14 @@ def test_polygons_of_few_edges_are_settled_where_they_meet(spark, monkeypatch, f
     want = {(r.id, k) for r in nodes.collect() for k in range(5) if (0 <= (y := r.lat - 100 * k) < 300 and r.lon < 900) or (300 <= y < 900 and r.lon < 300)}
     assert {(r.id, r.polygon_id) for r in found.collect()} == want and len(want) > 100
     assert ("HashAggregate(keys=[id" in plan(found)) == (few == 4)
+
+
+def test_stairs_make_no_pair_for_each_vertex(spark, monkeypatch):
+    """Many edges at one place are asked about once."""
+    asked, write = [], stairs.materialize
+    monkeypatch.setattr(stairs, "materialize", lambda df, label: asked.append(df) or write(df, label))
+    vertices = spark.range(200).select(F.col("id").alias("edge_id"), (F.col("id") % 4 * 1_000_000).alias("lat"), F.lit(0).cast("long").alias("lon"))
+    steps = spark.range(50).select((F.col("id") * 10).alias("lat"), F.lit(0).cast("long").alias("lon"))
+    found = stairs.near_stairs(vertices, steps, 25.0)
+    assert sorted(r.edge_id for r in found.collect()) == [i for i in range(200) if i % 4 == 0]
+    assert asked[-1].count() == 1
